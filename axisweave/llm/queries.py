@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from axisweave.llm.common import table
+from axisweave.llm.decontamination import contamination_report
 from axisweave.llm.sharding import shard_documents
+from axisweave.llm.warc import archive_round_trip
 
 
 def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_convert_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_convert_archives": op8_convert_archives,
 }
 ORACLE: dict[str, str] = {}
