@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axisweave.llm.common import table
 from axisweave.llm.decontamination import contamination_report
+from axisweave.llm.language import predict_languages
 from axisweave.llm.sharding import shard_documents
 from axisweave.llm.warc import archive_round_trip
 
@@ -24,9 +25,14 @@ def op8_convert_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op4_decontaminate": op4_decontaminate,
     "op8_convert_archives": op8_convert_archives,
+    "op9_identify_languages": op9_identify_languages,
 }
 ORACLE: dict[str, str] = {}
