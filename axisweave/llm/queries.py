@@ -10,6 +10,7 @@ from axisweave.llm.common import table
 from axisweave.llm.decontamination import contamination_report
 from axisweave.llm.language import predict_languages
 from axisweave.llm.sharding import shard_documents
+from axisweave.llm.toxicity import score_documents
 from axisweave.llm.warc import archive_round_trip
 
 
@@ -29,10 +30,15 @@ def op9_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op4_decontaminate": op4_decontaminate,
     "op8_convert_archives": op8_convert_archives,
     "op9_identify_languages": op9_identify_languages,
+    "op7_score_toxicity": op7_score_toxicity,
 }
 ORACLE: dict[str, str] = {}
