@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from axisweave.llm.common import table
 from axisweave.llm.decontamination import contamination_report
 from axisweave.llm.language import predict_languages
+from axisweave.llm.sentencepieces import encode_texts
 from axisweave.llm.sharding import shard_documents
 from axisweave.llm.toxicity import score_documents
 from axisweave.llm.warc import archive_round_trip
@@ -34,11 +35,16 @@ def op7_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op4_decontaminate": op4_decontaminate,
     "op8_convert_archives": op8_convert_archives,
     "op9_identify_languages": op9_identify_languages,
     "op7_score_toxicity": op7_score_toxicity,
+    "op3_encode_pieces": op3_encode_pieces,
 }
 ORACLE: dict[str, str] = {}
