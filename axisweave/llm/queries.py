@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axisweave.llm.common import table
 from axisweave.llm.decontamination import contamination_report
+from axisweave.llm.fingerprints import compare_versions
 from axisweave.llm.language import predict_languages
 from axisweave.llm.sentencepieces import encode_texts
 from axisweave.llm.sharding import shard_documents
@@ -39,6 +40,10 @@ def op3_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_fingerprint_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op4_decontaminate": op4_decontaminate,
@@ -46,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_identify_languages": op9_identify_languages,
     "op7_score_toxicity": op7_score_toxicity,
     "op3_encode_pieces": op3_encode_pieces,
+    "op2_fingerprint_versions": op2_fingerprint_versions,
 }
 ORACLE: dict[str, str] = {}
