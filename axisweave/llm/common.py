@@ -154,3 +154,19 @@ def rolling(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
+
+
+def among(df: DataFrame, column: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows of df whose ``column`` may be in the one column of ids; a few others pass, so an exact join must follow.
+
+    The filter is a bitmap of 2^bits bits in at most 2^(bits - 6) rows, whatever the number of ids; this bound lets it be broadcast,
+    so rows that can't match are dropped before any shuffle.
+    """
+    from pyspark.sql import functions as F
+
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
+    (name,) = ids.columns
+    marks = ids.select(F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(1 << bits)).alias("_p")).selectExpr("_p div 64 as _word", "shiftleft(1L, cast(_p % 64 as int)) as _bit")
+    marks = store(marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    kept = df.withColumn("_p", place).withColumn("_w", F.expr("_p div 64")).join(F.broadcast(marks), F.col("_w") == F.col("_word"))
+    return kept.where("getbit(_bits, cast(_p % 64 as int)) = 1").select(*df.columns)
