@@ -25,15 +25,16 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(first.select("bucket", "leader"), "bucket").where("id <> leader")
 
 
-def verified_links(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
-    """Links (a, b) that verify() confirms, from buckets(bucket, id).
+def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], rounds: int | None = None, led: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that verify() confirms, from buckets(bucket, id), or from the first round's pairs led(bucket, id, leader).
 
     verify() takes distinct pairs (a, b), a < b, and returns those that are alike with a likeness column ``like``. rounds bounds
     the loop in tests; None goes on until every bucket is settled.
     """
     members, links, done, turn = buckets, None, None, 0
     while rounds is None or turn < rounds:
-        led = store(leader_pairs(members))
+        if turn or led is None:
+            led = store(leader_pairs(members))
         if led.isEmpty():
             break
         pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -48,7 +49,7 @@ def verified_links(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
         members = store(keyed.join(links.select("a", "b").distinct(), ["a", "b"], "left_anti").select("bucket", "id"))
         turn += 1
     if links is None:
-        empty = buckets.sparkSession.createDataFrame([], "a long, b long")
+        empty = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).limit(0)
         return store(verify(empty))
     return links
 

@@ -112,11 +112,17 @@ def same_words(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, same long")
 
 
-def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    low = int(np.minimum(wa[i], wb[j]).sum())
-    total = int(wa.sum() + wb.sum()) - low
-    return low / total if total else 1.0
+def weighted_jaccard(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Weighted Jaccard similarity of the texts of two columns, row by row."""
+    sides, total = [], np.zeros(len(x), np.int64)
+    for c in (x, y):
+        h, row, weight = shingles(c)
+        sides.append((row.astype(U64) << U64(44) | h, weight))
+        total += np.bincount(row, weights=weight, minlength=len(x)).astype(np.int64)
+    (a, wa), (b, wb) = sides
+    key, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    low = np.bincount((key >> U64(44)).astype(np.int64), weights=np.minimum(wa[i], wb[j]), minlength=len(x)).astype(np.int64)
+    return np.where(total > 0, low / np.maximum(total - low, 1), 1.0)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,14 +159,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch, "x"):
-                    sides = []
-                    for c in (2, 3):
-                        h, row, weight = shingles(part.column(c))
-                        cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                        sides.append((h, weight, cut))
-                    (h, w, p), (g, v, q) = sides
-                    like = np.array([weighted_jaccard(h[p[i] : p[i + 1]], w[p[i] : p[i + 1]], g[q[i] : q[i + 1]], v[q[i] : q[i + 1]]) for i in range(part.num_rows)])
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(like, pa.float64())], ["a", "b", "like"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weighted_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
         return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
 

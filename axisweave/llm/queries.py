@@ -10,6 +10,7 @@ from axisweave.llm.common import table
 from axisweave.llm.decontamination import contamination_report
 from axisweave.llm.fingerprints import compare_versions
 from axisweave.llm.language import predict_languages
+from axisweave.llm.linededup import classed_lines
 from axisweave.llm.neardup import classes
 from axisweave.llm.sentencepieces import encode_texts
 from axisweave.llm.sharding import shard_documents
@@ -49,6 +50,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classed_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op4_decontaminate": op4_decontaminate,
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_encode_pieces": op3_encode_pieces,
     "op2_fingerprint_versions": op2_fingerprint_versions,
     "op5_near_duplicates": op5_near_duplicates,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 ORACLE: dict[str, str] = {}
