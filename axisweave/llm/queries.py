@@ -12,6 +12,7 @@ from axisweave.llm.fingerprints import compare_versions
 from axisweave.llm.language import predict_languages
 from axisweave.llm.linededup import classed_lines
 from axisweave.llm.neardup import classes
+from axisweave.llm.passages import passages
 from axisweave.llm.sentencepieces import encode_texts
 from axisweave.llm.sharding import shard_documents
 from axisweave.llm.toxicity import score_documents
@@ -54,6 +55,10 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classed_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": op1_shard_documents,
     "op4_decontaminate": op4_decontaminate,
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint_versions": op2_fingerprint_versions,
     "op5_near_duplicates": op5_near_duplicates,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op6_repeated_passages": op6_repeated_passages,
 }
 ORACLE: dict[str, str] = {}
