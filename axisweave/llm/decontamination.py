@@ -178,10 +178,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 8, key: str = "doc_
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, SCHEMA)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, key: str = "doc_id", **more) -> DataFrame:
-    """docs without those that hold windows of at least min_items items. Documents with a null key can't be told apart and stay."""
-    hit = matches(docs, items, window, key=key, **more).where((F.size("items") >= min_items) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[key] == hit["_hit"], "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
+    """docs without the rows that hold windows of at least min_items items. Rows are dropped where they are read; null texts stay."""
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in test_blocks(items, item_id, item_text, window, block_bytes)]
+    at = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text):
+                pair = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(at)], ["doc_id", "text"])
+                found = scan(pair, [b.value for b in blocks], window).column(3)
+                yield part.filter(pa.array([len(x) < min_items for x in found.to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from axisweave.llm.common import U64, pieces, text_buffers
+from axisweave.llm.common import pieces, text_buffers
 
-SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
+PREDICTED = "lang_pred string, score double, languages array<string>, proportions array<double>"
+NAMES = ["lang_pred", "score", "languages", "proportions"]
 #: Letters beyond ASCII begin with these bytes; punctuation and symbols (C2 80-BF, E2 80-BF ..) are weeded by is_letter().
 BUCKETS = 1 << 16
 
@@ -154,23 +156,30 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The languages of every whole text: lang_pred (largest share), score (that share), languages and proportions.
+def identified(part: pa.RecordBatch, at: int, model: Model) -> list[pa.Array]:
+    """The columns of NAMES for the texts in column ``at``."""
+    letter = has_letter(part.column(at))
+    found = [f if ok else ("und", 0.0, [], []) for f, ok in zip(infer(model, part.column(at)), letter, strict=True)]
+    return [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())))]
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with the languages of every whole text: lang_pred (largest share), score (that share), languages and proportions.
 
     ``und`` with score 0 for null texts and texts with no letter. Long texts are taken whole; the model (a table of
-    ``buckets`` x languages floats) is broadcast.
+    buckets x languages floats) is broadcast. Columns of docs with these names are replaced; every row is kept as it is.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop(*NAMES)
+    at = kept.columns.index(text)
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(PREDICTED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 2_000_000):
-                found, letter = infer(sent.value, part.column(1)), has_letter(part.column(1))
-                found = [f if ok else ("und", 0.0, [], []) for f, ok in zip(found, letter, strict=True)]
-                kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]], ["doc_id", "lang_pred", "score", "languages", "proportions"])
+            for part in pieces(batch, text, 2_000_000):
+                yield pa.RecordBatch.from_arrays([*part.columns, *identified(part, at, sent.value)], [*part.schema.names, *NAMES])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return kept.mapInArrow(run, schema)
 
 
 def fold(key: str, of: int):
@@ -180,4 +189,4 @@ def fold(key: str, of: int):
 def predict_languages(docs: DataFrame) -> DataFrame:
     """op9's rows: learn where crc32(doc_id) mod 4 is not 2, then predict every document."""
     model = fit(docs.where(fold("doc_id", 4) != 2))
-    return identify(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    return identify(docs.select("doc_id", "text"), model).drop("text").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
