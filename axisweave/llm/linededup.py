@@ -211,9 +211,9 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
                 for part in pieces(batch, "x", 2_000_000):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(line_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
-        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
+        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= 2 * similarity - 1)
 
-    root = store(components(verified_links(None, verify, led=led)))
+    root = store(components(verified_links(None, verify, similarity, led)))
     place: Column = F.struct("doc_id", "line_no")
     firsts = listed.where("id <> 0").groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classed = store(firsts.join(root, "id", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))

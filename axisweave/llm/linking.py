@@ -1,12 +1,14 @@
 """From buckets of candidates to classes: leader pairs, verification, and distributed union-find.
 
-A bucket's members aren't paired with each other but with a leader, so candidates grow with the rows. Members that the
-leader doesn't take in stay in the bucket, and the next leader is one of them; this goes on until no bucket has two such members.
+A bucket's members aren't paired with each other but with leaders, so candidates grow with the rows. Members that no
+leader takes in stay in the bucket and get more leaders (1, 4, 16 ..), until no bucket has two such members. Links that this may
+miss are found by the triangle inequality of the Jaccard distance: see residual_pairs().
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,46 +16,70 @@ from pyspark.sql import functions as F
 from axisweave.llm.common import store
 
 
-def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """buckets(bucket, id) to (bucket, id, leader) of the members other than the leader, which differs from bucket to bucket.
+def leader_pairs(buckets: DataFrame, leaders: int = 1) -> DataFrame:
+    """buckets(bucket, id) to (bucket, id, leader): each member with up to ``leaders`` leaders of its bucket other than itself.
 
-    The leader is found by a partial aggregate, so a hot bucket meets in no single task before the join, whose skewed keys
-    adaptive execution splits.
+    Leaders are found by a partial aggregate (the least hash in each share of the members), so a hot bucket meets in no single
+    task before the join, whose skewed keys adaptive execution splits.
     """
     order = F.struct(F.xxhash64("bucket", "id").alias("h"), F.col("id"))
-    first = buckets.groupBy("bucket").agg(F.min(order)["id"].alias("leader"), F.max("id").alias("_high"), F.min("id").alias("_low")).where("_low <> _high")
+    share = F.pmod(F.xxhash64("id", "bucket"), F.lit(leaders))
+    first = buckets.groupBy("bucket", share.alias("_share")).agg(F.min(order)["id"].alias("leader"), F.max("id").alias("_high"), F.min("id").alias("_low"))
+    if leaders == 1:
+        first = first.where("_low <> _high")
     return buckets.join(first.select("bucket", "leader"), "bucket").where("id <> leader")
 
 
-def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], rounds: int | None = None, led: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) that verify() confirms, from buckets(bucket, id), or from the first round's pairs led(bucket, id, leader).
+def ordered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
 
-    verify() takes distinct pairs (a, b), a < b, and returns those that are alike with a likeness column ``like``. rounds bounds
-    the loop in tests; None goes on until every bucket is settled.
+
+def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, led: DataFrame | None = None) -> DataFrame:
+    """Links (a, b, like) with like >= similarity, from buckets(bucket, id), or from the first round's pairs led(bucket, id, leader).
+
+    verify() takes distinct pairs (a, b), a < b, and returns their likeness ``like``; pairs under 2 * similarity - 1 may be left out.
     """
-    members, links, done, turn = buckets, None, None, 0
-    while rounds is None or turn < rounds:
-        if turn or led is None:
-            led = store(leader_pairs(members))
+    members, likes, done, rounds = buckets, [], [], []
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    while True:
+        if rounds or led is None:
+            led = store(leader_pairs(members, 4 ** len(rounds)))
         if led.isEmpty():
             break
-        pairs = led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        good = store(verify(pairs))
-        links = good if links is None else links.unionByName(good)
-        done = pairs if done is None else done.unionByName(pairs)
-        # who isn't linked with the bucket's leader stays
-        keyed = led.select("bucket", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        members = store(keyed.join(links.select("a", "b").distinct(), ["a", "b"], "left_anti").select("bucket", "id"))
-        turn += 1
-    if links is None:
-        empty = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).limit(0)
-        return store(verify(empty))
+        pairs = ordered(led).select("a", "b").distinct()
+        if done:
+            pairs = pairs.join(union(done), ["a", "b"], "left_anti")
+        done.append(store(pairs))
+        likes.append(store(verify(done[-1])))
+        rounds.append(led)
+        good = union(likes).where(F.col("like") >= similarity).select("a", "b")
+        settled = ordered(led).join(good, ["a", "b"]).select("bucket", "id").unionByName(led.select("bucket", F.col("leader").alias("id"))).distinct()
+        members = store(led.select("bucket", "id").distinct().join(settled, ["bucket", "id"], "left_anti"))
+    if not rounds:
+        return store(verify(led.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
+    known = union(likes)
+    links = known.where(F.col("like") >= similarity)
+    rest = store(residual_pairs(union(rounds), known, links, similarity).join(union(done), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(store(verify(rest)).where(F.col("like") >= similarity))
     return links
 
 
+def residual_pairs(led: DataFrame, known: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one bucket that weren't compared but may be alike.
+
+    If x is alike to leader l and to z, then z's distance from l is at most twice the bound, so like(z, l) >= 2 * similarity - 1. Only
+    such z that are not in l's component by now are paired with l's members.
+    """
+    near = ordered(led).join(known, ["a", "b"]).select("bucket", "id", "leader", "like")
+    root = components(links)
+    names = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
+    border = near.where(F.col("like") < similarity).join(names("id"), "id", "left").join(names("leader"), "leader", "left")
+    border = border.where(F.coalesce("_id", "id") != F.coalesce("_leader", "leader")).select("bucket", "leader", F.col("id").alias("z"))
+    taken = near.where(F.col("like") >= similarity).select("bucket", "leader", "id")
+    return ordered(border.join(taken, ["bucket", "leader"]).where("z <> id").select("id", F.col("z").alias("leader"))).select("a", "b").distinct()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Union-find by alternating large and small stars (Kiveris et al., 2014): (id, root), root the smallest id of its component.
 

@@ -161,9 +161,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
                 for part in pieces(batch, "x"):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weighted_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
-        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
+        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= 2 * similarity - 1)
 
-    links = verified_links(buckets, verify)
+    links = verified_links(buckets, verify, similarity)
     root = store(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     named = stands.join(root, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
