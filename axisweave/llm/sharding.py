@@ -20,7 +20,8 @@ def _jump(state: Column) -> Column:
     k0, k1, k2 = state["k0"], state["k1"], state["k2"]
     p0 = k0 * F.lit(M0) + F.lit(1)
     p1 = k0 * F.lit(M1) + k1 * F.lit(M0) + F.shiftright(p0, 21)
-    p2 = k0 * F.lit(M2) + k1 * F.lit(M1) + k2 * F.lit(M0) + F.shiftright(p1, 21)
+    top_bit = (k1 * F.lit(M2) + k2 * F.lit(M1)).bitwiseAND(F.lit(1)) * F.lit(1 << 21)  # of the products at 2^63
+    p2 = k0 * F.lit(M2) + k1 * F.lit(M1) + k2 * F.lit(M0) + F.shiftright(p1, 21) + top_bit
     n0, n1, n2 = p0.bitwiseAND(F.lit(LOW)), p1.bitwiseAND(F.lit(LOW)), p2.bitwiseAND(F.lit(HIGH))
     top = n2 * F.lit(512) + F.shiftright(n1, 12)
     j = F.floor((state["j"] + F.lit(1)).cast("double") * (F.lit(float(1 << 31)) / (top + F.lit(1)).cast("double")))
