@@ -60,7 +60,7 @@ def _signed(c: str, s: int) -> Column:
 def peel(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Differences of pairs of digest sets, by subtracted and peeled sketches.
 
-    pairs: keys, a and b (array<bigint>), size (a multiple of 3). Returns keys, only_a, only_b (arrays of digests) and ``left``, the
+    pairs: keys (not named n, d, k, cell or got), a and b (array<bigint>), size (a multiple of 3). Returns keys, only_a, only_b (arrays of digests) and ``left``, the
     number of cells that couldn't be peeled (0: the difference is whole). Pairs without a difference have no row.
     Every step groups by the keys, so rows that are dealt out by one of them are not dealt again.
     """

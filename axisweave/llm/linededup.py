@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axisweave.llm.common import GOLDEN, U64, as_long, mix, pieces, span_hashes, store, text_buffers
-from axisweave.llm.linking import components, verified_links
+from axisweave.llm.linking import block_pairs, verified_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 12 bands of 5 bins: a pair of similarity 0.8 shares a band with probability 0.99, one of 0.85 with 0.999.
 BANDS, DEPTH = 12, 5
+#: Of the 60 bins a pair of similarity 0.8 agrees in this share with probability 0.99999.
+LEAST_AGREEMENT = 0.58
 #: Bits of the bitmap that tells candidate lines when their texts are gathered.
 MARK_BITS = 25
 
@@ -211,9 +213,22 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
                 for part in pieces(batch, "x", 2_000_000):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(line_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
-        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= 2 * similarity - 1)
+        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
 
-    root = store(components(verified_links(None, verify, similarity, led)))
+
+    def rest(members: DataFrame) -> DataFrame:
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, "line", 2_000_000):
+                    data, off = text_buffers(part.column(1))
+                    h, line = char_shingles(data, off[:-1], off[1:])
+                    short = mix(signatures(h, line, part.num_rows, BANDS * DEPTH)).astype(np.uint16)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "signature"])
+
+        own = store(texts_of(base, members.select("id").distinct()).mapInArrow(sign, "id long, signature binary"))
+        return block_pairs(members, own, LEAST_AGREEMENT)
+
+    _, root = verified_links(None, verify, similarity, rest, led)
     place: Column = F.struct("doc_id", "line_no")
     firsts = listed.where("id <> 0").groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classed = store(firsts.join(root, "id", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))

@@ -1,8 +1,8 @@
 """From buckets of candidates to classes: leader pairs, verification, and distributed union-find.
 
-A bucket's members aren't paired with each other but with leaders, so candidates grow with the rows. Members that no
-leader takes in stay in the bucket and get more leaders (1, 4, 16 ..), until no bucket has two such members. Links that this may
-miss are found by the triangle inequality of the Jaccard distance: see residual_pairs().
+A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
+take in stay in the bucket for the next leader. What is still unsettled after LEADERS rounds are members unlike all leaders: their
+signatures are compared in blocks, without making rows of pairs, and only pairs whose signatures agree well enough are verified.
 """
 
 from __future__ import annotations
@@ -10,74 +10,79 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import store
+from axisweave.llm.common import as_long, store
 
+#: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared.
+LEADERS, BLOCK = 2, 1000
 
-def leader_pairs(buckets: DataFrame, leaders: int = 1) -> DataFrame:
-    """buckets(bucket, id) to (bucket, id, leader): each member with up to ``leaders`` leaders of its bucket other than itself.
 
-    Leaders are found by a partial aggregate (the least hash in each share of the members), so a hot bucket meets in no single
-    task before the join, whose skewed keys adaptive execution splits.
+def leader_pairs(buckets: DataFrame) -> DataFrame:
+    """buckets(bucket, id) to (bucket, id, leader) of the members other than the leader, which differs from bucket to bucket.
+
+    The leader is found by a partial aggregate, so a hot bucket meets in no single task before the join, whose skewed keys
+    adaptive execution splits.
     """
     order = F.struct(F.xxhash64("bucket", "id").alias("h"), F.col("id"))
-    share = F.pmod(F.xxhash64("id", "bucket"), F.lit(leaders))
-    first = buckets.groupBy("bucket", share.alias("_share")).agg(F.min(order)["id"].alias("leader"), F.max("id").alias("_high"), F.min("id").alias("_low"))
-    if leaders == 1:
-        first = first.where("_low <> _high")
+    first = buckets.groupBy("bucket").agg(F.min(order)["id"].alias("leader"), F.max("id").alias("_high"), F.min("id").alias("_low")).where("_low <> _high")
     return buckets.join(first.select("bucket", "leader"), "bucket").where("id <> leader")
 
 
+def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's members(bucket, id) whose signatures(id, signature: uint16 values) agree in a share of ``least``.
+
+    A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each two of them meet in a task of their own, so
+    that no task holds a whole large bucket.
+    """
+    n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cut = members.join(n, "bucket").join(signatures, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "signature")
+
+    def near(table: pa.Table) -> pa.Table:
+        x, y, own = table["x"][0].as_py(), table["y"][0].as_py(), table["i"].to_numpy()
+        ids = table["id"].to_numpy()
+        sig = np.stack([np.frombuffer(v, np.uint16) for v in table["signature"].to_pylist()])
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        out = []
+        for k in left:
+            hit = right[(sig[right] == sig[k]).mean(axis=1) >= least]
+            hit = hit[ids[hit] > ids[k]] if x == y else hit
+            out.append(np.stack([np.full(len(hit), ids[k]), ids[hit]]))
+        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([as_long(both.min(axis=0)), as_long(both.max(axis=0))], names=["a", "b"])
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(near, "a long, b long").where("a <> b").distinct()
+
+
 def ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
 
 
-def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, led: DataFrame | None = None) -> DataFrame:
-    """Links (a, b, like) with like >= similarity, from buckets(bucket, id), or from the first round's pairs led(bucket, id, leader).
+def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], DataFrame], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, like) with like >= similarity and their components (id, root), from buckets(bucket, id), or from the first round's pairs
+    led(bucket, id, leader).
 
-    verify() takes distinct pairs (a, b), a < b, and returns their likeness ``like``; pairs under 2 * similarity - 1 may be left out.
+    verify() takes distinct pairs (a, b), a < b, and returns those alike, with ``like``. rest() takes the unsettled members(bucket, id)
+    and returns the pairs to verify. A pair of one bucket is not compared only if a leader takes in one of both and not the other.
     """
-    members, likes, done, rounds = buckets, [], [], []
+    members, links, done = buckets, [], []
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    while True:
-        if rounds or led is None:
-            led = store(leader_pairs(members, 4 ** len(rounds)))
-        if led.isEmpty():
-            break
+    for turn in range(LEADERS):
+        if turn or led is None:
+            led = store(leader_pairs(members))
         pairs = ordered(led).select("a", "b").distinct()
-        if done:
-            pairs = pairs.join(union(done), ["a", "b"], "left_anti")
-        done.append(store(pairs))
-        likes.append(store(verify(done[-1])))
-        rounds.append(led)
-        good = union(likes).where(F.col("like") >= similarity).select("a", "b")
-        settled = ordered(led).join(good, ["a", "b"]).select("bucket", "id").unionByName(led.select("bucket", F.col("leader").alias("id"))).distinct()
-        members = store(led.select("bucket", "id").distinct().join(settled, ["bucket", "id"], "left_anti"))
-    if not rounds:
-        return store(verify(led.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
-    known = union(likes)
-    links = known.where(F.col("like") >= similarity)
-    rest = store(residual_pairs(union(rounds), known, links, similarity).join(union(done), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(store(verify(rest)).where(F.col("like") >= similarity))
-    return links
-
-
-def residual_pairs(led: DataFrame, known: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of one bucket that weren't compared but may be alike.
-
-    If x is alike to leader l and to z, then z's distance from l is at most twice the bound, so like(z, l) >= 2 * similarity - 1. Only
-    such z that are not in l's component by now are paired with l's members.
-    """
-    near = ordered(led).join(known, ["a", "b"]).select("bucket", "id", "leader", "like")
-    root = components(links)
-    names = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
-    border = near.where(F.col("like") < similarity).join(names("id"), "id", "left").join(names("leader"), "leader", "left")
-    border = border.where(F.coalesce("_id", "id") != F.coalesce("_leader", "leader")).select("bucket", "leader", F.col("id").alias("z"))
-    taken = near.where(F.col("like") >= similarity).select("bucket", "leader", "id")
-    return ordered(border.join(taken, ["bucket", "leader"]).where("z <> id").select("id", F.col("z").alias("leader"))).select("a", "b").distinct()
+        done.append(store(pairs.join(union(done), ["a", "b"], "left_anti") if done else pairs))
+        links.append(store(verify(done[-1])))
+        good = union(links).select("a", "b")
+        members = store(ordered(led).join(good, ["a", "b"], "left_anti").select("bucket", "id").distinct())
+    pairs = store(rest(members).join(union(done), ["a", "b"], "left_anti"))
+    links.append(store(verify(pairs)))
+    found = union(links).where(F.col("like") >= similarity)
+    return found, components(found)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -85,8 +90,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round is two aggregations; the edges are written out between rounds. Only ids that have a link are returned.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = store(edges)
+    mark = lambda e: e.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    seen = mark(edges)
     while True:
         # large star: each node's larger neighbours point at its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -96,7 +102,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = store(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        if new.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        before, seen = seen, mark(new)
+        if seen == before:
             break
         edges = new
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

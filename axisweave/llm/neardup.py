@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisweave.llm.common import GOLDEN, U64, among, as_long, mix, pieces, rolling, store, word_hashes
-from axisweave.llm.linking import components, verified_links
+from axisweave.llm.linking import block_pairs, verified_links
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 20 bands of 4 coordinates: a pair of similarity 0.8 shares a band with probability 0.99997.
-BANDS, DEPTH = 20, 4
+#: 24 bands of 6 coordinates: a pair of similarity 0.8 shares a band with probability 0.9993, and 6 bands on average.
+BANDS, DEPTH = 24, 6
+#: Of the 144 coordinates a pair of similarity 0.8 agrees in this share with probability 0.999996.
+LEAST_AGREEMENT = 0.65
 
 
 def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,17 +139,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
         for batch in batches:
             for part in pieces(batch, "text", 8_000_000):
                 h, row, weight = shingles(part.column(1))
-                keys = band_keys(dart_minhash(h, row, weight, part.num_rows, BANDS * DEPTH), BANDS, DEPTH)
+                signature = dart_minhash(h, row, weight, part.num_rows, BANDS * DEPTH)
+                keys = band_keys(signature, BANDS, DEPTH)
+                short = [x.tobytes() for x in signature.astype(np.uint16)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), as_long(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), as_long(text_id(part.column(1))), flat], ["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), as_long(text_id(part.column(1))), flat, pa.array(short, pa.binary())], ["doc_id", "same", "bands", "signature"])
 
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = store(base.mapInArrow(sign, "doc_id long, same long, bands array<long>"))
+    signed = store(base.mapInArrow(sign, "doc_id long, same long, bands array<long>, signature binary"))
     one = signed.groupBy("doc_id").agg(F.min("same").alias("same"))
     # copies: the smallest id stands for all; counted before the shuffle
     stands = store(signed.groupBy("same").agg(F.min("doc_id").alias("id")))
     kept = signed.join(stands, (signed["doc_id"] == stands["id"]) & (signed["same"] == stands["same"]), "left_semi").where("same <> 0").dropDuplicates(["doc_id"])
     buckets = kept.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    signatures = kept.select(F.col("doc_id").alias("id"), "signature")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -161,10 +166,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
                 for part in pieces(batch, "x"):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weighted_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
-        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= 2 * similarity - 1)
+        return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
 
-    links = verified_links(buckets, verify, similarity)
-    root = store(components(links))
+    links, root = verified_links(buckets, verify, similarity, lambda m: block_pairs(m, signatures, LEAST_AGREEMENT))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     named = stands.join(root, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return one.join(named, "same").select("doc_id", "class_id", "n_links")
