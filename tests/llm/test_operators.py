@@ -1,0 +1,239 @@
+"""The operators through Spark: brute force on small tables with nulls, empty and repeated rows, ties and clashing columns."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from axisweave.llm import decontamination, fingerprints, language, linededup, linking, neardup, passages, sentencepieces, sharding, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SYL = {"en": "the of and th er on in ing tion es".split(), "de": "der und ein ich sch ung zu ver lich st".split()}
+
+
+def prose(rnd, lang, n):
+    out = ["".join(rnd.choices(SYL[lang], k=rnd.randint(1, 3))) for _ in range(n)]
+    return "".join(w + ("\n" if rnd.random() < 0.08 else ". " if rnd.random() < 0.1 else " ") for w in out).strip()
+
+
+def make(spark, texts, extra=True):
+    """Documents with a clashing set of further columns."""
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in texts]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: F.lit("own") for c in ("id", "a", "b", "shard", "bucket", "score", "ids")}) if extra else df
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rnd = random.Random(11)
+    texts = [prose(rnd, rnd.choice(["en", "de"]), rnd.randint(3, 120)) for _ in range(60)]
+    texts += [texts[3], texts[3], texts[5].replace("the", "teh", 1) + " end", "", None, "x", "?!", None, texts[7] + "\n" + texts[8]]
+    return list(enumerate(texts))
+
+
+def jump(key, n):
+    """Brute force of the published loop on unsigned 64-bit integers."""
+    key, b, j = key % (1 << 64), -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(spark, corpus):
+    rows = [*corpus, (3, "again"), (None, "no id"), (-7, "minus"), (1 << 62, "large"), (3, "again")]
+    got = sharding.shard_documents(make(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = r["doc_id"] or 0
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 8), jump(key, 9)) and r["law"] == "key"
+        assert r["grown_shard"] in (r["shard"], 8)
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    many = spark.range(300).select(sharding.jump_hash(F.col("id"), 1000).alias("s"), "id").collect()
+    assert all(r["s"] == jump(r["id"], 1000) for r in many)
+    assert sharding.shard_documents(make(spark, [])).count() == 0
+
+
+def test_fingerprints(spark, corpus):
+    rows = [(i * 1000 if i % 3 else i * 1000 + 7, t) for i, t in corpus]
+    got = {r["doc_id"]: r for r in fingerprints.compare_versions(make(spark, rows)).collect()}
+    units = lambda x: {p for p in re.split(r"(?<=[.!?])\s+|[\r\n]+", x) if p}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    docs = sorted((i, t or "") for i, t in rows)
+    seen = {}
+    for k, (i, t) in enumerate(docs):
+        then = docs[(k + 1) % len(docs)][1]
+        edited = t[: len(t) - len(t) // 2] + then[: len(t) // 2]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(like(units(t), units(edited))) and r["near_next"] == pytest.approx(like(units(t), units(then)))
+        assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+
+
+def test_peeling_recovers_the_difference(spark):
+    a, b = list(range(1, 40)), list(range(20, 50))
+    df = spark.createDataFrame([(1, a, b, 300), (2, a, b, 6)], "pair long, a array<long>, b array<long>, size long")
+    got = {r["pair"]: r for r in fingerprints.peel(df, ["pair"]).collect()}
+    assert sorted(got[1]["only_a"]) == list(range(1, 20)) and sorted(got[1]["only_b"]) == list(range(40, 50)) and got[1]["left"] == 0
+    assert got[2]["left"] > 0
+
+
+def test_pieces(spark, corpus):
+    docs = make(spark, [*corpus, (None, "no id"), (5, "▁ lower"), (5, "▁ lower")])
+    got = sentencepieces.encode_texts(docs, dropout=0.2)
+    assert got.where("not lossless").count() == 0 and got.count() == docs.count() and got.select("a").distinct().first()["a"] == "own"
+    back = sentencepieces.decode_ids(got.withColumnRenamed("text", "was"))
+    assert back.where("not (text <=> coalesce(was, ''))").count() == 0
+    assert sentencepieces.encode_texts(make(spark, [])).count() == 0
+
+
+def test_decontamination(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "short item"), (3, None), (None, "")], "item_id long, text string")
+    docs = make(spark, [(1, "zero ONE two three four five six seven eight"), (2, "a short item one two three four five six seven eight nine"), (3, None), (None, "short item"), (5, "clean")])
+    got = {r["doc_id"]: r for r in decontamination.contamination_report(docs, items).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (8, 1, False)
+    assert (got[2]["n_hit"], got[2]["n_items"], got[2]["contaminated"], got[2]["items_sha256"]) == (11, 2, True, hashlib.sha256(b"1,2").hexdigest())
+    assert (got[3]["n_words"], got[None]["n_items"]) == (0, 1)
+    kept = decontamination.decontaminate(docs, items)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5] and kept.columns == docs.columns
+    assert decontamination.matches(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    assert decontamination.matches(docs.limit(0), items, block_bytes=10).count() == 0
+
+
+def test_near_duplicates(spark, corpus):
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(make(spark, [*corpus, (4, corpus[4][1]), (None, "no id")])).collect()}
+    assert set(got) == {i for i, _ in corpus}
+    shingles = {}
+    for i, t in corpus:
+        w = re.findall(r"[a-z0-9]+", (t or "").lower())
+        shingles[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+    root = {i: i for i in shingles}
+    for _ in range(3):
+        for i in shingles:
+            for j in shingles:
+                same = sum((shingles[i] & shingles[j]).values())
+                total = sum((shingles[i] | shingles[j]).values())
+                if (same / total if total else 1.0) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert got == root
+    kept = neardup.keep_one(make(spark, corpus))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+
+
+def test_links_of_a_hard_bucket(spark):
+    """A chain in one bucket: neighbours are alike, leaders take in their neighbours only; the rest is linked by blocks."""
+    n = 30
+    buckets = spark.createDataFrame([("b", i) for i in range(n)], "bucket string, id long")
+    bits = [(np.arange(n) < i).astype(np.uint16).tobytes() for i in range(n)]
+    signatures = spark.createDataFrame(list(enumerate(map(bytearray, bits))), "id long, signature binary")
+    like = lambda pairs: pairs.withColumn("like", 1 - F.abs(F.col("a") - F.col("b")) * 0.15).where("like >= 0.8")
+    _, root = linking.verified_links(buckets, like, 0.8, lambda m: linking.block_pairs(m, signatures, 0.5))
+    got = {r["id"]: r["root"] for r in root.collect()}
+    assert len(set(got.values())) <= 3 and len(got) == n  # at most a cut beside each leader's neighbours
+
+
+def test_fuzzy_lines(spark, corpus):
+    rows = [(i, t) for i, t in corpus if i % 2 or t is None] + [(100, "Licensed under the terms of version 3.0 of this licence.\n\nown line of this document"), (101, "Licensed under the terms of version 2.0 of this licence.\nok")]
+    got = {(r["doc_id"], r["line_no"]): r for r in linededup.classed_lines(make(spark, rows)).collect()}
+    sets, first = {}, {}
+    for i, t in sorted(rows, key=lambda x: x[0]):
+        for k, line in enumerate((t or "").split("\n")):
+            line = line.strip()
+            if line:
+                s = frozenset(line[x : x + 5] for x in range(len(line) - 4)) or frozenset([line])
+                sets[i, k] = s
+    for p, s in sets.items():
+        first[p] = min(q for q, o in sets.items() if len(s & o) / len(s | o) >= 0.8)
+    for _ in range(3):
+        first = {p: first[first[p]] for p in first}
+    assert set(got) == {(i, k) for i, t in rows for k in range(len((t or "").split("\n")))}
+    for p, r in got.items():
+        assert r["kept"] == (p not in first or first[p] == p)
+        assert (r["first_doc"], r["first_line"]) == first.get(p, (None, None))
+    text = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_lines(make(spark, rows)).collect()}
+    assert text[100] == rows[-2][1] and text[101] == "ok"
+    assert {i for i, t in rows if not (t or "").strip()} <= set(text)
+
+
+def test_repeated_passages(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    shared = [word() for _ in range(60)]
+    near = [w if i % 25 else word() for i, w in enumerate(shared)]
+    own = lambda n: [word() for _ in range(n)]
+    rows = [(1, own(80) + shared + own(20)), (2, own(10) + near + own(30)), (3, own(200)), (4, ["for"] * 90), (7, own(5) + shared)]
+    docs = make(spark, [(i, " ".join(w)) for i, w in rows] + [(8, None), (9, ""), (10, "few words"), (None, " ".join(shared))])
+    got = {(r["doc_id"], r["source_doc"]): r for r in passages.passages(docs).collect()}
+    assert set(got) == {(2, 1), (4, 4), (7, 1)}
+    assert (got[7, 1]["from_word"], got[7, 1]["to_word"], got[7, 1]["source_from"]) == (5, 65, 80) and got[7, 1]["identity"] == 1.0
+    assert got[2, 1]["identity"] > 0.9 and got[2, 1]["to_word"] - got[2, 1]["from_word"] >= 50
+    assert got[4, 4]["to_word"] == 90
+    assert passages.passages(docs.limit(0)).count() == 0
+
+
+def test_archives(spark, tmp_path):
+    pages = [(1, "http://a", "<p>ß\r\n\r\n</p>"), (2, None, "<p>ß\r\n\r\n</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e e", "WARC/1.1\r\n"), (None, "http://n", "lone"), (2, "http://b", "<p>ß\r\n\r\n</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("own"))
+    got = warc.archive_round_trip(df, str(tmp_path / "w")).collect()
+    assert len(got) == len(pages) and all(r["digest_ok"] for r in got)
+    for i, kind, ref in ((1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (None, "response", None)):
+        mine = [r for r in got if r["page_id"] == i]
+        assert {(r["record_type"], r["refers_to"]) for r in mine} == {(kind, ref)}
+        html = next(h for p, _, h in pages if p == i) or ""
+        assert {(r["payload_bytes"], r["payload_digest"]) for r in mine} == {(len(html.encode()), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())}
+    assert warc.archive_round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_languages(spark):
+    rnd = random.Random(3)
+    rows = [(i, prose(rnd, lang, 60), lang, "s", 0) for i in range(60) for lang in [("en", "de")[i % 2]]] + [(90, None, None, None, None), (91, "12 34!", "en", None, None), (92, "", None, None, None), (None, prose(rnd, "en", 40), None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("own"))
+    got = language.predict_languages(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] in (90, 91, 92):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["doc_id"] is not None:
+            assert r["lang_pred"] == ("en", "de")[r["doc_id"] % 2] and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    assert {r["lang_pred"] for r in language.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_toxicity(spark):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, "en", 30) + (" scum of a loser" if i % 4 == 0 else "")) for i in range(240)] + [(500, None), (501, ""), (None, "scum loser")]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)] + [(3, 0, None), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(make(spark, rows), labels).collect()}
+    held = [r for i, r in got.items() if i is not None and i < 240 and r["held_out"]]
+    assert sum((r["score"] > 0.5) == (r["doc_id"] % 4 == 0) for r in held) >= 0.9 * len(held) > 0
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
+    assert toxicity.score_documents(make(spark, rows[:3]), labels.limit(0)).count() == 3
+
+
+def test_pipeline(spark, tmp_path):
+    rnd = random.Random(21)
+    base = [prose(rnd, ("en", "de")[i % 2], 80) for i in range(24)]
+    passage = " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(30))
+    copy = base[2].replace("\n", " ")
+    texts = [*base, base[0], copy, copy + " more", passage + "\n" + base[1][:40] + "zz", "123 456", None]
+    spark.createDataFrame([(i, t, ("en", "de")[i % 2], "s", 0 if t is None else len(t)) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "benchmark decontamination", "SentencePiece encoding"]
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(range(24)) <= set(got) | {2} and not {24, 27, 28, 29} & set(got)
+    assert len({2, 25, 26} & set(got)) <= 2
+    assert all(r["lossless"] and r["n_chars"] == len(r["text"]) and r["n_tokens"] == len(r["ids"]) for r in got.values())
