@@ -2,7 +2,7 @@
 
 A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
 take in stay in the bucket for the next leader. What is still unsettled after LEADERS rounds are members unlike all leaders: their
-signatures are compared in blocks, without making rows of pairs, and only pairs whose signatures agree well enough are verified.
+signatures are compared in blocks, without making rows of pairs, and the pairs to verify are a few spanning forests of best agreement.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.common import as_long, store
 
-#: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared.
-LEADERS, BLOCK = 2, 1000
+#: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared, and forests taken of each.
+LEADERS, BLOCK, FORESTS = 2, 1000, 3
 
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
@@ -32,11 +32,38 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(first.select("bucket", "leader"), "bucket").where("id <> leader")
 
 
+def forests(left: np.ndarray, right: np.ndarray, agreement: np.ndarray, n: int, times: int = FORESTS) -> np.ndarray:
+    """Places of the pairs in ``times`` maximum spanning forests by agreement, none of which shares a pair: under times * n of them.
+
+    Of members that pairs alike in truth connect, a forest of best agreement holds such pairs unless worse pairs agree better by chance; this
+    would have to happen in every forest.
+    """
+    rest = np.argsort(-agreement, kind="stable")
+    out = []
+    for _ in range(times):
+        root, took, open_ = list(range(n)), [], n - 1
+        for at, a, b in zip(rest.tolist(), left[rest].tolist(), right[rest].tolist(), strict=True):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[a] = b
+                took.append(at)
+                open_ -= 1
+                if not open_:
+                    break
+        out += took
+        rest = rest[~np.isin(rest, took)]
+    return np.array(out, np.int64)
+
+
 def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's members(bucket, id) whose signatures(id, signature: uint16 values) agree in a share of ``least``.
+    """Pairs (a, b) to verify of a bucket's members(bucket, id): of those whose signatures(id, signature: uint16 values) agree in a share
+    of ``least``, the spanning forests of best agreement.
 
     A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each two of them meet in a task of their own, so
-    that no task holds a whole large bucket.
+    that no task holds a whole large bucket; the pairs grow with the rows of a block.
     """
     n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = members.join(n, "bucket").join(signatures, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
@@ -46,13 +73,15 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Data
         x, y, own = table["x"][0].as_py(), table["y"][0].as_py(), table["i"].to_numpy()
         ids = table["id"].to_numpy()
         sig = np.stack([np.frombuffer(v, np.uint16) for v in table["signature"].to_pylist()])
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out = []
-        for k in left:
-            hit = right[(sig[right] == sig[k]).mean(axis=1) >= least]
-            hit = hit[ids[hit] > ids[k]] if x == y else hit
-            out.append(np.stack([np.full(len(hit), ids[k]), ids[hit]]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        right = np.flatnonzero(own == y)
+        found: list[tuple] = []
+        for k in np.flatnonzero(own == x):
+            share = (sig[right] == sig[k]).mean(axis=1)
+            hit = np.flatnonzero((share >= least) & ((x != y) | (right > k)))
+            found.append((np.full(len(hit), k), right[hit], share[hit]))
+        a, b, share = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        took = forests(a, b, share, len(ids))
+        both = np.stack([ids[a[took]], ids[b[took]]])
         return pa.table([as_long(both.min(axis=0)), as_long(both.max(axis=0))], names=["a", "b"])
 
     return dealt.groupBy("bucket", "x", "y").applyInArrow(near, "a long, b long").where("a <> b").distinct()
