@@ -9,6 +9,7 @@ characters without a piece, and the blank's own symbol U+2581 where a text holds
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -25,7 +26,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MASK = 0xFFFFFFFF
 #: How many segmentations of a chunk are in play, and how many chunks a worker remembers of each.
-VARIANTS, REMEMBERED = 4, 150_000
+VARIANTS, REMEMBERED = 2, 400_000
+#: Chunks of up to so many characters keep their agenda in a list, which is faster there than a heap.
+SHORT = 48
+NONE = 1 << 30
 
 
 @dataclass
@@ -33,7 +37,7 @@ class Pieces:
     """A model's pieces: ids by text, merge order, and the bytes each id stands for."""
 
     ids: dict[str, int]
-    rank: dict[str, tuple[float, int]]  # of pieces of two characters and more: (-score, id)
+    rank: dict[str, int]  # merge order of pieces of two characters and more, by falling score; equal scores share a rank
     byte_ids: list[int]
     raw: list[bytes]  # a blank for U+2581; empty for control pieces
     pattern: str
@@ -55,13 +59,20 @@ def load(path: str = MODEL) -> Pieces:
             ids[p] = i
             raw.append(p.replace(BLANK, " ").encode())
             if len(p) > 1:
-                rank[p] = (-sp.get_score(i), i)
+                rank[p] = -sp.get_score(i)
     if any(BLANK in p.lstrip(BLANK) for p in ids):
         raise ValueError("pieces that run over a word's start can't be encoded word by word")
+    place = {v: k for k, v in enumerate(sorted(set(rank.values())))}
+    rank = {p: place[v] for p, v in rank.items()}
     # no piece goes on after a character that is in no longer piece: each such character of ASCII is a chunk
-    joined = set("".join(rank))
+    joined, signs = set("".join(rank)), "!#$%&()*+,./:;<=>?@[]^`{|}~\"\\-"
     alone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined and c != " ") + BLANK)
-    return Pieces(ids, rank, byte_ids, raw, f" *[^ {alone}]+| +|[{alone}]")
+    # nor does one run from a letter into a sign, but for a few signs: a chunk ends between the two
+    inside = {b for p in rank for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+    ends = re.escape("".join(c for c in signs if c in joined and c not in inside))
+    other = re.escape("".join(sorted(c for c in joined if re.match(r"[^\W\d_]", c) and not c.isalpha())))
+    pattern = f" *[^ {alone}](?:[^ {alone}{ends}]++|(?<![^\\W\\d_{other}])[{ends}])*| +|[{alone}]" if ends else f" *[^ {alone}]+| +|[{alone}]"
+    return Pieces(ids, rank, byte_ids, raw, pattern)
 
 
 def skipped(key: int, place: int, piece: int, step: int, limit: int) -> bool:
@@ -71,25 +82,55 @@ def skipped(key: int, place: int, piece: int, step: int, limit: int) -> bool:
     return x ^ x >> 16 < limit
 
 
-def segment(model: Pieces, chunk: str, key: int, limit: int) -> list[int]:
-    """The ids of a chunk (its blanks as ' ')."""
-    if chunk == BLANK:
-        return [model.byte_ids[b] for b in BLANK.encode()]
-    part: list[str | None] = list(chunk.replace(" ", BLANK))
-    n, rank = len(part), model.rank
+def merge_short(rank: dict[str, int], part: list[str], key: int, limit: int) -> list[str]:
+    """The pieces of a short chunk. The agenda is the list of the ranks of neighbours; the first of the least is next."""
+    agenda = [rank.get(a + b, NONE) for a, b in zip(part, part[1:], strict=False)]
+    step, later = 0, []
+    while agenda and (r := min(agenda)) < NONE:
+        i = agenda.index(r)
+        if limit and skipped(key, i, r, step, limit):
+            agenda[i] = NONE
+            later.append((i, r))
+            continue
+        for j, v in later:
+            agenda[j] = v
+        if later:
+            later = []
+        step += 1
+        part[i] += part.pop(i + 1)
+        del agenda[i]
+        if i < len(agenda):
+            agenda[i] = rank.get(part[i] + part[i + 1], NONE)
+        if i:
+            agenda[i - 1] = rank.get(part[i - 1] + part[i], NONE)
+    return part
+
+
+def merge_long(rank: dict[str, int], part: list[str], key: int, limit: int) -> list[str]:
+    """The same with a heap; a candidate's place for the hash is counted as in merge_short, in parts from the left."""
+    n = len(part)
+    held: list[str | None] = list(part)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = [(*rank[p], i, i + 1, p) for i in range(n - 1) if (p := part[i] + part[i + 1]) in rank]
-    agenda = [(s, i, j, p, q) for s, q, i, j, p in agenda]  # by score, then from the left
+    gone = [0] * (n + 1)  # a Fenwick tree of merged-away places
+
+    def shift(i: int) -> int:
+        out = 0
+        while i > 0:
+            out += gone[i]
+            i -= i & -i
+        return out
+
+    agenda = [(rank[p], i, i + 1, p) for i in range(n - 1) if (p := part[i] + part[i + 1]) in rank]
     heapify(agenda)
     step = 0
     while agenda:
         later, top = [], None
         while agenda:
             c = heappop(agenda)
-            i, j, p = c[1], c[2], c[3]
-            if part[i] is None or j >= n or part[j] is None or after[i] != j or len(part[i]) + len(part[j]) != len(p):
+            r, i, j, p = c
+            if held[i] is None or j >= n or held[j] is None or after[i] != j or len(held[i]) + len(held[j]) != len(p):
                 continue  # one of its parts has merged
-            if limit and skipped(key, i, c[4], step, limit):
+            if limit and skipped(key, i - shift(i), r, step, limit):
                 later.append(c)
                 continue
             top = c
@@ -99,20 +140,30 @@ def segment(model: Pieces, chunk: str, key: int, limit: int) -> list[int]:
         for c in later:
             heappush(agenda, c)
         step += 1
-        _, i, j, p, _ = top
-        part[i], part[j] = p, None
+        _, i, j, p = top
+        held[i], held[j] = p, None
+        q = j + 1
+        while q <= n:
+            gone[q] += 1
+            q += q & -q
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (m := p + part[k]) in rank:
-                heappush(agenda, (rank[m][0], i, k, m, rank[m][1]))
+            if (m := p + held[k]) in rank:
+                heappush(agenda, (rank[m], i, k, m))
         h = before[i]
-        if h >= 0 and (m := part[h] + p) in rank:
-            heappush(agenda, (rank[m][0], h, i, m, rank[m][1]))
+        if h >= 0 and (m := held[h] + p) in rank:
+            heappush(agenda, (rank[m], h, i, m))
+    return [p for p in held if p is not None]
+
+
+def segment(model: Pieces, chunk: str, key: int, limit: int) -> list[int]:
+    """The ids of a chunk (its blanks as ' ')."""
+    if chunk == BLANK:
+        return [model.byte_ids[b] for b in BLANK.encode()]
+    part = list(chunk.replace(" ", BLANK))
     out = []
-    for p in part:
-        if p is None:
-            continue
+    for p in (merge_short if len(part) <= SHORT else merge_long)(model.rank, part, key, limit):
         if (i := model.ids.get(p)) is not None:
             out.append(i)
         else:
@@ -134,7 +185,7 @@ class Encoder:
 
     def learn(self, variant: int, chunk: str) -> bytes:
         key = crc32(chunk.encode(), self.seed * 0x9E3779B1 + variant * 0x632BE5AB & MASK)
-        out = np.array(segment(self.model, chunk, key, self.limit), np.int32).tobytes()
+        out = array("i", segment(self.model, chunk, key, self.limit)).tobytes()
         if len(self.known[variant]) >= REMEMBERED:
             self.known[variant].clear()
         if len(chunk) < 64:
