@@ -65,8 +65,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(slot[kept], row[kept], len(column)), -30, 30)))
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, bits: int, kept: int = 4096, rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss; both labels weigh alike. texts: the buckets of each."""
+def train(texts: list[np.ndarray], y: np.ndarray, bits: int, kept: int = 4096, rank: int = 8, epochs: int = 12, min_steps: int = 600, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """AdaGrad on the logistic loss; both labels weigh alike; small samples get more epochs, up to min_steps batches. texts: the buckets of each."""
     size = 1 << bits
     pos, neg = np.zeros(size), np.zeros(size)
     for t, label in zip(texts, y, strict=True):
@@ -75,7 +75,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, bits: int, kept: int = 4096, r
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     z = np.where(pos + neg >= 3, np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)), 0)
     best = np.argsort(-z, kind="stable")[:kept]
-    best = np.sort(best[z[best] > 0])
+    best = np.sort(best[z[best] >= 2])  # about two standard errors
     slot = np.full(size, -1, np.int32)
     slot[best] = np.arange(len(best))
     rng = np.random.default_rng(seed)
@@ -83,6 +83,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, bits: int, kept: int = 4096, r
     gw, gv, gb = np.full(len(best), 1e-3), np.full((len(best), rank), 1e-3), 1e-3
     docs = [(s := slot[t])[s >= 0] for t in texts]
     weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
+    epochs = max(epochs, min_steps * 128 // max(len(docs), 128))
     for _ in range(epochs if len(best) and 0 < y.sum() < len(y) else 0):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 128):
