@@ -1,17 +1,19 @@
 """From buckets of candidates to classes: leader pairs, verification, and distributed union-find.
 
 A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
-take in stay in the bucket for the next leader. What is still unsettled after LEADERS rounds are members unlike all leaders: their
-signatures are compared in blocks, without making rows of pairs, and the pairs to verify are a few spanning forests of best agreement.
+take in stay in the bucket for the next leader. After LEADERS rounds a bucket whose members are all of one component is done. In the
+others the signatures of all members of different components are compared in blocks, without making rows of pairs, those that leaders
+took in with the rest; the pairs to verify are a few spanning forests of best agreement.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from axisweave.llm.common import as_long, store
 
 #: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared, and forests taken of each.
 LEADERS, BLOCK, FORESTS = 2, 1000, 3
+#: Blocks of up to so many members are compared many at a time.
+SMALL = 64
 
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
@@ -58,57 +62,124 @@ def forests(left: np.ndarray, right: np.ndarray, agreement: np.ndarray, n: int,
     return np.array(out, np.int64)
 
 
-def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) to verify of a bucket's members(bucket, id): of those whose signatures(id, signature: uint16 values) agree in a share
-    of ``least``, the spanning forests of best agreement.
+def whole_blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, number of each row's block) of sorted batches, cut where a block ends; a block is the rows of equal keys."""
 
-    A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each two of them meet in a task of their own, so
-    that no task holds a whole large bucket; the pairs grow with the rows of a block.
+    def numbers(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in keys:
+            new[1:] |= pc.not_equal(t[c].slice(1), t[c].slice(0, t.num_rows - 1)).to_numpy()
+        return np.cumsum(new)
+
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+        if rows.num_rows:
+            n = numbers(rows)
+            at = int(np.searchsorted(n, n[-1]))
+            if at:
+                yield rows.slice(0, at).combine_chunks(), n[:at]
+            held = rows.slice(at)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.zeros(held.num_rows, np.int64)
+
+
+def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
+    """A function from roots(id, root) to the pairs (a, b) to verify of members(bucket, id): of those in different components whose
+    signatures(id, signature: uint16 values) agree in a share of ``least``, the spanning forests of best agreement.
+
+    A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each two of them, x and y, meet by themselves, so
+    that no task holds a whole large bucket; a partition is read block by block.
     """
-    n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int"))
-    cut = members.join(n, "bucket").join(signatures, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-    dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "signature")
-
-    def near(table: pa.Table) -> pa.Table:
-        x, y, own = table["x"][0].as_py(), table["y"][0].as_py(), table["i"].to_numpy()
-        ids = table["id"].to_numpy()
-        sig = np.stack([np.frombuffer(v, np.uint16) for v in table["signature"].to_pylist()])
-        right = np.flatnonzero(own == y)
-        found: list[tuple] = []
-        for k in np.flatnonzero(own == x):
-            share = (sig[right] == sig[k]).mean(axis=1)
-            hit = np.flatnonzero((share >= least) & ((x != y) | (right > k)))
-            found.append((np.full(len(hit), k), right[hit], share[hit]))
-        a, b, share = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        took = forests(a, b, share, len(ids))
-        both = np.stack([ids[a[took]], ids[b[took]]])
-        return pa.table([as_long(both.min(axis=0)), as_long(both.max(axis=0))], names=["a", "b"])
-
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(near, "a long, b long").where("a <> b").distinct()
+    keys = ("bucket", "x", "y")
+
+    def agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (one == two).mean(axis=1)
+
+    def hits(own: np.ndarray, root: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, place, agreement) of the agreeing pairs within blocks, in order of the block."""
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            share = agree(sig[i], sig[j])
+            ok = share >= least
+            found.append((i[ok], j[ok], share[ok]))
+
+        first = np.searchsorted(block, block)
+        size = np.searchsorted(block, block, side="right") - first
+        within = np.arange(len(block)) - first
+        small = (x == y) & (size <= SMALL)
+        for d in range(1, int(size[small].max(initial=0))):
+            i = np.flatnonzero(small & (within + d < size))
+            take(i, i + d)
+        for at in np.unique(first[~small]):
+            here = np.arange(at, at + size[at])
+            right = here[own[here] == y[at]]
+            for k in here[own[here] == x[at]]:
+                other = right if x[at] != y[at] else right[right > k]
+                take(np.full(len(other), k), other)
+        i, j, share = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(block[i], kind="stable")
+        return i[order], j[order], share[order]
+
+    def propose(roots: DataFrame) -> DataFrame:
+        named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        n = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+        cut = named.join(n.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("s")), "bucket").join(signatures, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+        dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "root", "signature")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, block in whole_blocks(batches, keys):
+                x, y, own, ids, root = (rows[c].to_numpy() for c in ("x", "y", "i", "id", "root"))
+                sig = np.stack([np.frombuffer(v, np.uint16) for v in rows["signature"].to_pylist()])
+                i, j, share = hits(own, root, sig, x, y, block)
+                cuts, took = np.flatnonzero(np.diff(block[i])) + 1, []
+                for part in np.split(np.arange(len(i)), cuts):
+                    nodes, node = np.unique(np.concatenate([root[i[part]], root[j[part]]]), return_inverse=True)
+                    if len(part) > FORESTS * len(nodes):
+                        part = part[forests(node[: len(part)], node[len(part) :], share[part], len(nodes))]
+                    took.append(part)
+                at = np.concatenate(took)
+                both = np.stack([ids[i[at]], ids[j[at]]])
+                yield pa.RecordBatch.from_arrays([as_long(both.min(axis=0)), as_long(both.max(axis=0))], ["a", "b"])
+
+        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+    return propose
 
 
 def ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
 
 
-def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], DataFrame], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, like) with like >= similarity and their components (id, root), from buckets(bucket, id), or from the first round's pairs
     led(bucket, id, leader).
 
-    verify() takes distinct pairs (a, b), a < b, and returns those alike, with ``like``. rest() takes the unsettled members(bucket, id)
-    and returns the pairs to verify. A pair of one bucket is not compared only if a leader takes in one of both and not the other.
+    verify() takes distinct pairs (a, b), a < b, and returns those alike, with ``like``. rest() takes the members(bucket, id) of the buckets
+    that hold several components after the leaders and returns a function from roots(id, root) to the pairs to verify.
     """
     members, links, done = buckets, [], []
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     for turn in range(LEADERS):
         if turn or led is None:
             led = store(leader_pairs(members))
+        if not turn:
+            every = led.select("bucket", "id").union(led.select("bucket", F.col("leader").alias("id"))).distinct()
         pairs = ordered(led).select("a", "b").distinct()
         done.append(store(pairs.join(union(done), ["a", "b"], "left_anti") if done else pairs))
         links.append(store(verify(done[-1])))
         good = union(links).select("a", "b")
         members = store(ordered(led).join(good, ["a", "b"], "left_anti").select("bucket", "id").distinct())
-    pairs = store(rest(members).join(union(done), ["a", "b"], "left_anti"))
+    # two members of a bucket have met as leader and member; buckets of the same members count once
+    named = every.join(components(union(links)), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    mixed = mixed.where("_low <> _high and n > 2").groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket")
+    propose = rest(store(every.join(mixed, "bucket", "left_semi")))
+    pairs = store(propose(components(union(links))).distinct().join(union(done), ["a", "b"], "left_anti"))
     links.append(store(verify(pairs)))
     found = union(links).where(F.col("like") >= similarity)
     return found, components(found)

@@ -147,6 +147,27 @@ def test_links_of_a_hard_bucket(spark):
     assert len(set(got.values())) <= 2 * linking.LEADERS + 1 and len(got) >= n - 2 * linking.LEADERS
 
 
+@pytest.mark.parametrize("taken_by", [2])
+def test_members_that_leaders_take_in_stay_in_reach(spark, taken_by):
+    """Groups around the bucket's leaders that are joined by one bridge, whose end is taken in before the bridge is compared."""
+    buckets = spark.createDataFrame([("b", i) for i in range(40)], "bucket string, id long")
+    lead = linking.leader_pairs(buckets).first()["leader"]
+    rest = [i for i in range(40) if i != lead]
+    if taken_by == 2:  # either side is led by a leader of its own
+        half = rest[:20]
+        lead2 = linking.leader_pairs(buckets.where(~F.col("id").isin(half + [lead]))).first()["leader"]
+        bridge = half[0], next(i for i in rest[20:] if i != lead2)
+    else:
+        half = rest[:39 - 3]
+        lead2, bridge = rest[-1], (half[0], rest[-2])
+    group = {i: int(i not in half and i != lead) for i in range(40)}
+    true = {(i, j) for i in range(40) for j in range(i + 1, 40) if group[i] == group[j] and {i, j} & {lead, lead2}} | {tuple(sorted(bridge))}
+    links = spark.createDataFrame([(a, b, 0.9) for a, b in true], "a long, b long, like double")
+    signatures = spark.createDataFrame([(i, bytearray(np.ones(60, np.uint16).tobytes())) for i in range(40)], "id long, signature binary")
+    _, root = linking.verified_links(buckets, lambda p: p.join(links, ["a", "b"]), 0.8, lambda m: linking.block_pairs(m, signatures, 0.5))
+    assert {r["id"]: r["root"] for r in root.collect()} == dict.fromkeys(range(40), 0)
+
+
 def test_fuzzy_lines(spark, corpus):
     rows = [(i, t) for i, t in corpus if i % 2 or t is None] + [(100, "Licensed under the terms of version 3.0 of this licence.\n\nown line of this document"), (101, "Licensed under the terms of version 2.0 of this licence.\nok")]
     got = {(r["doc_id"], r["line_no"]): r for r in linededup.classed_lines(make(spark, rows)).collect()}
