@@ -3,7 +3,8 @@
 A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
 take in stay in the bucket for the next leader. After LEADERS rounds a bucket whose members are all of one component is done. In the
 others the signatures of all members of different components are compared in blocks, without making rows of pairs, those that leaders
-took in with the rest; the pairs to verify are a few spanning forests of best agreement.
+took in with the rest. Of the agreeing pairs spanning forests of best agreement are verified first, then what remains between
+components that are still separate, until no such pair is left.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.common import as_long, store
 
-#: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared, and forests taken of each.
-LEADERS, BLOCK, FORESTS = 2, 1000, 3
+#: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared, forests taken of each in a
+#: turn, and turns with forests, after which all remaining pairs are taken.
+LEADERS, BLOCK, FORESTS, TURNS = 2, 1000, 3, 2
 #: Blocks of up to so many members are compared many at a time.
 SMALL = 64
 
@@ -85,9 +87,10 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield held.combine_chunks(), np.zeros(held.num_rows, np.int64)
 
 
-def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
-    """A function from roots(id, root) to the pairs (a, b) to verify of members(bucket, id): of those in different components whose
-    signatures(id, signature: uint16 values) agree in a share of ``least``, the spanning forests of best agreement.
+def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Callable[[DataFrame, DataFrame | None, bool], DataFrame]:
+    """A function from (roots(id, root), the pairs it has given before, whether to take all) to the pairs (bucket, x, y, a, b, more) to verify
+    of members(bucket, id): of those in different components whose signatures(id, signature: uint16 values) agree in a share of
+    ``least``, the spanning forests of best agreement, or all. ``more`` tells that the block has other such pairs.
 
     A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each two of them, x and y, meet by themselves, so
     that no task holds a whole large bucket; a partition is read block by block.
@@ -97,6 +100,12 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Call
     def agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return (one == two).mean(axis=1)
 
+    def fresh(i: np.ndarray, j: np.ndarray, ids: np.ndarray, block: np.ndarray, tried: pa.Table, tried_block: np.ndarray) -> np.ndarray:
+        """Which pairs of places are not among the tried pairs of their block."""
+        old = {(k, a, b) for k, a, b in zip(tried_block.tolist(), tried["id"].to_pylist(), tried["other"].to_pylist(), strict=True)}
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return np.array([p not in old for p in zip(block[i].tolist(), low.tolist(), high.tolist(), strict=True)], bool)
+
     def hits(own: np.ndarray, root: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place, place, agreement) of the agreeing pairs within blocks, in order of the block."""
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -125,28 +134,44 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Call
         order = np.argsort(block[i], kind="stable")
         return i[order], j[order], share[order]
 
-    def propose(roots: DataFrame) -> DataFrame:
+    def propose(roots: DataFrame, tried: DataFrame | None = None, everything: bool = False) -> DataFrame:
         named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         n = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
         cut = named.join(n.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("s")), "bucket").join(signatures, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-        dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "root", "signature")
+        dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "root", "signature", F.lit(None).cast("long").alias("other"))
+        if tried is not None:
+            open_ = tried.groupBy(*keys).agg(F.min("more").alias("more")).where("more").select(*keys)
+            old = tried.join(open_, [*keys], "left_semi").select(*keys, F.lit(0).alias("i"), F.col("a").alias("id"), F.lit(0).cast("long").alias("root"), F.lit(None).cast("binary").alias("signature"), F.col("b").alias("other"))
+            dealt = dealt.join(open_, [*keys], "left_semi").unionByName(old)
+        kind = members.schema["bucket"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, block in whole_blocks(batches, keys):
+                before = rows["other"].is_valid().to_numpy()
+                tried_rows, tried_block = rows.filter(pa.array(before)), block[before]
+                rows, block = rows.filter(pa.array(~before)), block[~before]
+                if not rows.num_rows:
+                    continue
                 x, y, own, ids, root = (rows[c].to_numpy() for c in ("x", "y", "i", "id", "root"))
                 sig = np.stack([np.frombuffer(v, np.uint16) for v in rows["signature"].to_pylist()])
                 i, j, share = hits(own, root, sig, x, y, block)
+                if len(tried_block):
+                    new = fresh(i, j, ids, block, tried_rows, tried_block)
+                    i, j, share = i[new], j[new], share[new]
+                more = np.zeros(len(i), bool)
                 cuts, took = np.flatnonzero(np.diff(block[i])) + 1, []
                 for part in np.split(np.arange(len(i)), cuts):
                     nodes, node = np.unique(np.concatenate([root[i[part]], root[j[part]]]), return_inverse=True)
-                    if len(part) > FORESTS * len(nodes):
+                    if not everything and len(part) > FORESTS * len(nodes):
+                        more[part] = True
                         part = part[forests(node[: len(part)], node[len(part) :], share[part], len(nodes))]
                     took.append(part)
                 at = np.concatenate(took)
                 both = np.stack([ids[i[at]], ids[j[at]]])
-                yield pa.RecordBatch.from_arrays([as_long(both.min(axis=0)), as_long(both.max(axis=0))], ["a", "b"])
+                own_keys = [rows[c].combine_chunks().take(pa.array(i[at])) for c in keys]
+                yield pa.RecordBatch.from_arrays([*own_keys, as_long(both.min(axis=0)), as_long(both.max(axis=0)), pa.array(more[at])], [*keys, "a", "b", "more"])
 
-        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"bucket {kind}, x int, y int, a long, b long, more boolean")
 
     return propose
 
@@ -155,12 +180,13 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
 
 
-def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], Callable[..., DataFrame]], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, like) with like >= similarity and their components (id, root), from buckets(bucket, id), or from the first round's pairs
     led(bucket, id, leader).
 
     verify() takes distinct pairs (a, b), a < b, and returns those alike, with ``like``. rest() takes the members(bucket, id) of the buckets
-    that hold several components after the leaders and returns a function from roots(id, root) to the pairs to verify.
+    that hold several components after the leaders and returns a function that gives the pairs to verify (see block_pairs()). It is asked
+    again, with the components so far, until no block has more of them.
     """
     members, links, done = buckets, [], []
     union = lambda frames: reduce(DataFrame.unionByName, frames)
@@ -179,8 +205,13 @@ def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], Data
     mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"), F.min("root").alias("_low"), F.max("root").alias("_high"))
     mixed = mixed.where("_low <> _high and n > 2").groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket")
     propose = rest(store(every.join(mixed, "bucket", "left_semi")))
-    pairs = store(propose(components(union(links))).distinct().join(union(done), ["a", "b"], "left_anti"))
-    links.append(store(verify(pairs)))
+    given: list[DataFrame] = []
+    while True:
+        given.append(store(propose(components(union(links)), union(given) if given else None, len(given) >= TURNS)))
+        done.append(store(given[-1].select("a", "b").distinct().join(union(done), ["a", "b"], "left_anti")))
+        links.append(store(verify(done[-1])))
+        if given[-1].where("more").isEmpty():
+            break
     found = union(links).where(F.col("like") >= similarity)
     return found, components(found)
 
