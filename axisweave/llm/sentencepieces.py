@@ -1,7 +1,7 @@
 """SentencePiece (BPE model) encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda in the order of the pieces' scores. A candidate merge is skipped when a keyed hash of
-(seed, variant, chunk, place, piece, step) falls under ``dropout``; skipped candidates return after the next merge, and the chunk is
+Merges are taken from an agenda in the order of the pieces' scores. A candidate merge is skipped with the probability ``dropout``, drawn
+anew for each chunk of each document from a generator keyed by (seed, document); skipped candidates return after the next merge, and the chunk is
 done when every candidate left is skipped. With dropout 0 the ids equal the library's. Every segmentation decodes to the text:
 characters without a piece, and the blank's own symbol U+2581 where a text holds it, are written as byte pieces.
 """
@@ -12,8 +12,9 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
-from zlib import crc32
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from axisweave.llm.common import pieces as slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MASK = 0xFFFFFFFF
-#: How many segmentations of a chunk are in play, and how many chunks a worker remembers of each.
-VARIANTS, REMEMBERED = 2, 400_000
+#: How many chunks a worker remembers without a skipped candidate, and how many (chunk, draws) with one.
+REMEMBERED = 400_000
+#: Decisions that are drawn at once for a chunk; later ones are hashed.
+DRAWN = 64
 #: Chunks of up to so many characters keep their agenda in a list, which is faster there than a heap.
 SHORT = 48
 NONE = 1 << 30
@@ -157,48 +160,102 @@ def merge_long(rank: dict[str, int], part: list[str], key: int, limit: int) -> l
     return [p for p in held if p is not None]
 
 
-def segment(model: Pieces, chunk: str, key: int, limit: int) -> list[int]:
-    """The ids of a chunk (its blanks as ' ')."""
-    if chunk == BLANK:
-        return [model.byte_ids[b] for b in BLANK.encode()]
-    part = list(chunk.replace(" ", BLANK))
-    out = []
-    for p in (merge_short if len(part) <= SHORT else merge_long)(model.rank, part, key, limit):
+def merge_drawn(rank: dict[str, int], part: list[str], draws: int, limit: int) -> tuple[list[str], int]:
+    """As merge_short, where bit i of draws tells whether the candidate looked at as the i-th is skipped; also how many were looked at."""
+    agenda = [rank.get(a + b, NONE) for a, b in zip(part, part[1:], strict=False)]
+    n, later = 0, []
+    while agenda and (r := min(agenda)) < NONE:
+        i = agenda.index(r)
+        skip = draws >> n & 1 if n < DRAWN else skipped(draws & MASK ^ draws >> 32, n, r, n, limit)
+        n += 1
+        if skip:
+            agenda[i] = NONE
+            later.append((i, r))
+            continue
+        for j, v in later:
+            agenda[j] = v
+        later = []
+        part[i] += part.pop(i + 1)
+        del agenda[i]
+        if i < len(agenda):
+            agenda[i] = rank.get(part[i] + part[i + 1], NONE)
+        if i:
+            agenda[i - 1] = rank.get(part[i - 1] + part[i], NONE)
+    return part, n
+
+
+def ids_of(model: Pieces, part: list[str]) -> bytes:
+    out = array("i")
+    for p in part:
         if (i := model.ids.get(p)) is not None:
             out.append(i)
         else:
-            out += [model.byte_ids[b] for b in p.encode()]
-    return out
+            out.extend(model.byte_ids[b] for b in p.encode())
+    return out.tobytes()
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of recent chunks (a bounded number). A chunk's variant follows (seed, document, place)."""
+    """Encodes texts; each chunk's skips follow (seed, document, place of the chunk). Remembers the ids of recent chunks and of the draws
+    they met (a bounded number), which changes no result."""
 
     def __init__(self, model: Pieces, seed: int, dropout: float):
         if not 0 <= dropout < 1:
             raise ValueError("dropout must be from 0 to under 1")
         self.model, self.seed, self.limit = model, seed, int(dropout * (1 << 32))
         self.split = re.compile(model.pattern, re.DOTALL).findall
-        self.n = VARIANTS if self.limit else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.n)]
-        self.order = np.random.default_rng(seed).integers(0, self.n, 1 << 16).astype(np.uint8).tobytes()
-
-    def learn(self, variant: int, chunk: str) -> bytes:
-        key = crc32(chunk.encode(), self.seed * 0x9E3779B1 + variant * 0x632BE5AB & MASK)
-        out = array("i", segment(self.model, chunk, key, self.limit)).tobytes()
-        if len(self.known[variant]) >= REMEMBERED:
-            self.known[variant].clear()
+        self.plain: dict[str, tuple[bytes, int]] = {}
+        self.varied: dict[tuple[str, int], bytes] = {}
+
+    def draws(self, document: int, n: int) -> list[int]:
+        """DRAWN bits for each of n chunks, each set with the probability limit / 2^32 (its binary digits, from the last)."""
+        rng = np.random.Generator(np.random.PCG64(int.from_bytes(blake2b(f"{self.seed},{document}".encode(), digest_size=16).digest())))
+        out = np.zeros(n, np.uint64)
+        for b in range(32):
+            r = rng.integers(0, 1 << 64, n, np.uint64)
+            out = out | r if self.limit >> b & 1 else out & r
+        return out.tolist()
+
+    def learn(self, chunk: str) -> tuple[bytes, int]:
+        """The ids without a skip, and a mask of the draws that this takes."""
+        if chunk == BLANK:
+            out = array("i", [self.model.byte_ids[b] for b in BLANK.encode()]).tobytes(), 0
+        else:
+            part = list(chunk.replace(" ", BLANK))
+            n = len(part)
+            part = (merge_short if n <= SHORT else merge_long)(self.model.rank, part, 0, 0)
+            out = ids_of(self.model, part), (1 << (n - len(part))) - 1
+        if len(self.plain) >= REMEMBERED:
+            self.plain.clear()
         if len(chunk) < 64:
-            self.known[variant][chunk] = out
+            self.plain[chunk] = out
+        return out
+
+    def vary(self, chunk: str, draws: int, mask: int) -> bytes:
+        part = list(chunk.replace(" ", BLANK))
+        if len(part) > SHORT:
+            return ids_of(self.model, merge_long(self.model.rank, part, draws & MASK ^ draws >> 32, self.limit))
+        # a skip or two more are looked at than without one
+        key = chunk, draws & (mask << 3 | 7)
+        if (out := self.varied.get(key)) is not None:
+            return out
+        part, n = merge_drawn(self.model.rank, part, draws, self.limit)
+        out = ids_of(self.model, part)
+        if n <= (mask << 3 | 7).bit_length() <= DRAWN:
+            if len(self.varied) >= REMEMBERED:
+                self.varied.clear()
+            self.varied[key] = out
         return out
 
     def encode(self, text: str, document: int = 0) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        chunks, get = self.split(" " + text), [k.get for k in self.known]
-        at = crc32(str(document).encode(), self.seed & MASK) & 0xFFFF
-        turn = self.order[at:] + self.order * (len(chunks) // len(self.order) + 1)
-        return np.frombuffer(b"".join([get[v](c) or self.learn(v, c) for v, c in zip(turn, chunks, strict=False)]), np.int32)
+        chunks, get, out = self.split(" " + text), self.plain.get, []
+        for c, d in zip(chunks, self.draws(document, len(chunks)) if self.limit else repeat(0), strict=False):
+            ids, mask = get(c) or self.learn(c)
+            if self.limit and mask and (d & mask or len(c) > SHORT):
+                ids = self.vary(c, d, mask)
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 def decode(model: Pieces, ids: np.ndarray) -> str:

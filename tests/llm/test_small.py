@@ -148,6 +148,23 @@ def test_pieces_equal_the_library_without_dropout_and_round_trip():
             assert sentencepieces.merge_short(model.rank, list(c), 9, limit) == sentencepieces.merge_long(model.rank, list(c), 9, limit)
 
 
+def test_dropout_is_drawn_for_each_place():
+    model = sentencepieces.load()
+    own, word = sentencepieces.Encoder(model, 1, 0.1), " internationalisation"
+    chars = list(word.replace(" ", "▁"))
+    merges = len(chars) - len(sentencepieces.merge_short(model.rank, list(chars), 0, 0))
+    seen = {}
+    for doc in range(300):
+        text = (word * 10).strip()
+        ids = own.encode(text, doc)
+        assert sentencepieces.decode(model, ids) == text and (ids == sentencepieces.Encoder(model, 1, 0.1).encode(text, doc)).all()
+        for d in own.draws(doc, 10):
+            got, n = sentencepieces.merge_drawn(model.rank, list(chars), d, own.limit)
+            seen[tuple(got)] = seen.get(tuple(got), 0) + 1
+    assert len(seen) > 5 and 0.9**merges == pytest.approx(sum(not d & (1 << merges) - 1 for k in range(300) for d in own.draws(k, 10)) / 3000, abs=0.04)
+    assert len({own.encode(word.strip(), k).tobytes() for k in range(300)}) > 5
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_conversion(version):
     pages = [(1, "http://a b/ü", b"<p>\r\n\r\nx\n</p>"), (None, None, b""), (-5, "http://c", "ß".encode())]
