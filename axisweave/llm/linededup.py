@@ -20,7 +20,7 @@ from axisweave.llm.linking import block_pairs, verified_links
 SHINGLE, SIMILARITY = 5, 0.8
 #: 12 bands of 5 bins: a pair of similarity 0.8 shares a band with probability 0.99, one of 0.85 with 0.999.
 BANDS, DEPTH = 12, 5
-#: Of the 60 bins a pair of similarity 0.8 agrees in this share with probability 0.99999.
+#: Of the bins that are filled in one of both lines, 60 at most, a pair of similarity 0.8 agrees in this share with probability 0.99999 or more.
 LEAST_AGREEMENT = 0.58
 #: Bits of the bitmap that tells candidate lines when their texts are gathered.
 MARK_BITS = 25
@@ -89,6 +89,11 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int, bins: int) -> np.ndarray
     return np.take_along_axis(low, right % bins, axis=1).astype(U64) | far << U64(32)
 
 
+def own_bins(signature: np.ndarray) -> np.ndarray:
+    """[n, bins] uint16 of the bins that a line fills itself; 0 where a value is borrowed."""
+    return np.where(signature >> U64(32) == 0, np.maximum(mix(signature).astype(np.uint16), 1), 0).astype(np.uint16)
+
+
 def band_keys(signature: np.ndarray) -> np.ndarray:
     parts = signature.reshape(len(signature), BANDS, DEPTH)
     key = np.broadcast_to(np.arange(BANDS, dtype=U64), parts.shape[:2]).copy()
@@ -222,11 +227,11 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
                 for part in pieces(batch, "line", 2_000_000):
                     data, off = text_buffers(part.column(1))
                     h, line = char_shingles(data, off[:-1], off[1:])
-                    short = mix(signatures(h, line, part.num_rows, BANDS * DEPTH)).astype(np.uint16)
+                    short = own_bins(signatures(h, line, part.num_rows, BANDS * DEPTH))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "signature"])
 
         own = store(texts_of(base, members.select("id").distinct()).mapInArrow(sign, "id long, signature binary"))
-        return block_pairs(members, own, LEAST_AGREEMENT)
+        return block_pairs(members, own, LEAST_AGREEMENT, empty=0)
 
     _, root = verified_links(None, verify, similarity, rest, led)
     place: Column = F.struct("doc_id", "line_no")

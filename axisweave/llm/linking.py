@@ -87,7 +87,15 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield held.combine_chunks(), np.zeros(held.num_rows, np.int64)
 
 
-def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Callable[[DataFrame, DataFrame | None, bool], DataFrame]:
+def agreement(one: np.ndarray, two: np.ndarray, empty: int | None = None) -> np.ndarray:
+    """The share of equal values of signatures, row by row; values that are ``empty`` in both don't count."""
+    if empty is None:
+        return (one == two).mean(axis=1)
+    some = (one != empty) | (two != empty)
+    return ((one == two) & some).sum(axis=1) / np.maximum(some.sum(axis=1), 1)
+
+
+def block_pairs(members: DataFrame, signatures: DataFrame, least: float, empty: int | None = None) -> Callable[[DataFrame, DataFrame | None, bool], DataFrame]:
     """A function from (roots(id, root), the pairs it has given before, whether to take all) to the pairs (bucket, x, y, a, b, more) to verify
     of members(bucket, id): of those in different components whose signatures(id, signature: uint16 values) agree in a share of
     ``least``, the spanning forests of best agreement, or all. ``more`` tells that the block has other such pairs.
@@ -97,9 +105,6 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Call
     """
     keys = ("bucket", "x", "y")
 
-    def agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return (one == two).mean(axis=1)
-
     def fresh(i: np.ndarray, j: np.ndarray, ids: np.ndarray, block: np.ndarray, tried: pa.Table, tried_block: np.ndarray) -> np.ndarray:
         """Which pairs of places are not among the tried pairs of their block."""
         old = {(k, a, b) for k, a, b in zip(tried_block.tolist(), tried["id"].to_pylist(), tried["other"].to_pylist(), strict=True)}
@@ -113,7 +118,7 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float) -> Call
         def take(i: np.ndarray, j: np.ndarray) -> None:
             apart = root[i] != root[j]
             i, j = i[apart], j[apart]
-            share = agree(sig[i], sig[j])
+            share = agreement(sig[i], sig[j], empty)
             ok = share >= least
             found.append((i[ok], j[ok], share[ok]))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from axisweave.llm import decontamination as dc
-from axisweave.llm import language, linededup, neardup, passages, sentencepieces, toxicity, warc
+from axisweave.llm import language, linededup, linking, neardup, passages, sentencepieces, toxicity, warc
 from axisweave.llm.common import U64, pieces, word_hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -110,6 +110,24 @@ def test_lines_and_their_likeness():
     assert linededup.line_jaccard(pa.array(x), pa.array(y)).tolist() == pytest.approx(want)
 
 
+@pytest.mark.parametrize("size", [14, 22, 60, 200])
+def test_like_lines_agree_in_their_own_bins(size):
+    rnd = random.Random(size)
+    make = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    x = [make(size) for _ in range(3000)]
+    # shingles lost at the end and gained there: a Jaccard similarity of 0.8 or just over
+    k = (size - 4) // 9
+    y = [t[: size - k] + make(k) for t in x]
+    true = linededup.line_jaccard(pa.array(x), pa.array(y))
+    sig = []
+    for texts in (x, y):
+        data, off = linededup.text_buffers(pa.array(texts))
+        h, line = linededup.char_shingles(data, off[:-1], off[1:])
+        sig.append(linededup.own_bins(linededup.signatures(h, line, len(texts), 60)))
+    like = true >= 0.8
+    assert like.sum() > 2000 and (linking.agreement(*sig, empty=0)[like] >= linededup.LEAST_AGREEMENT).all()
+
+
 def test_minimizers_cover_every_window():
     h = np.random.default_rng(0).integers(0, 1 << 62, 200).astype(U64)
     row = np.repeat([0, 1, 2], [120, 75, 5])
