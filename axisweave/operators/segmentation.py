@@ -143,7 +143,7 @@ OUT = "chr string, strand string, start int, stop int, sample_levels array<array
 def change_points(bins: DataFrame, width: int, prior: Prior | None = None, mode: str | None = None, min_bins: int = 1) -> DataFrame:
     """Change points of exons from binned coverage.
 
-    bins: chr, strand, start, stop (the exon), sample, bin, y. A group is one exon with its samples, whose bins are bounded by its
+    bins: chr, strand, start, stop (the exon), sample, bin, y; a column width, if there is one, holds the exon's own bin width. A group is one exon with its samples, whose bins are bounded by its
     length (coarsen very long exons first). mode defaults to falling coverage in the direction of the strand. Returns a row for each cut that
     is over min_bins from both ends: its position, the levels of all samples before and after it, confidence and log odds.
     """
@@ -153,13 +153,14 @@ def change_points(bins: DataFrame, width: int, prior: Prior | None = None, mode:
         chr_, strand, start, stop = key
         wide = rows.pivot_table(index="bin", columns="sample", values="y", aggfunc="sum", fill_value=0).sort_index()
         ys = [wide[c].to_numpy(float) for c in sorted(wide.columns)]
+        step = int(rows["width"].iloc[0]) if "width" in rows else width
         how = mode or ("increasing" if strand == "-" else "decreasing")
         cuts, levels = segment(ys, prior, how)
         confidence = cut_confidence(ys, prior) if cuts else np.zeros(0)
         out = []
         for i, c in enumerate(cuts):
             if min_bins < c < len(ys[0]) - min_bins - 1:
-                out.append((chr_, strand, start, stop, [levels[i], levels[i + 1]], int(start + (c + (levels[i + 1] > levels[i])) * width + width // 2), c, float(np.exp(confidence[c])), odds(confidence[c])))
+                out.append((chr_, strand, start, stop, [levels[i], levels[i + 1]], int(start + (c + (levels[i + 1] > levels[i])) * step + step // 2), c, float(np.exp(confidence[c])), odds(confidence[c])))
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in OUT.split(", ")])
 
     return bins.groupBy("chr", "strand", "start", "stop").applyInPandas(run, OUT)

@@ -42,7 +42,7 @@ def assemble(alignments: DataFrame, config: Config | None = None) -> Assembly:
     accepted = judged.where("accepted").select(*iv.KEYS, "start", "stop")
     found = exons.spliced_exons(segments, accepted)
     long_ = found.where(F.col("type").isin("5p_exon", "3p_exon") & (F.col("stop") - F.col("start") + 1 >= config.min_terminal))
-    bins = coarsened(aligned, long_.select(*iv.KEYS, "start", "stop").distinct(), config).where(F.col("width") == config.bin_width).withColumn("sample", F.lit("s"))
+    bins = coarsened(aligned, long_.select(*iv.KEYS, "start", "stop").distinct(), config).withColumn("sample", F.lit("s"))
     points = segmentation.change_points(bins, config.bin_width, segmentation.Prior(min_fold=config.min_fold))
     return Assembly(segments, judged, found, exons.unspliced_remainder(segments, found), points)
 

@@ -76,3 +76,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["site"], r["n"]) for r in spark.sql("select * from sites").collect()] == [(5, 2)]
+
+
+def test_long_terminal_exons_have_change_points(spark, monkeypatch):
+    """An exon of more than max_bins bins is segmented in wider bins."""
+    exon = spark.createDataFrame([("c", "+", 300, 1519, "3p_exon")], "chr string, strand string, start int, stop int, type string")
+    monkeypatch.setattr(assembly.exons, "spliced_exons", lambda segments, accepted: exon)
+    reads = [("c", "+", 300 + i, "20M") for i in range(600) for _ in range(4)] + [("c", "+", 900 + i, "20M") for i in range(0, 600, 10)]
+    a = spark.createDataFrame(reads, "chr string, strand string, start int, cigar string")
+    points = assembly.assemble(a, Config(max_bins=30)).change_points.collect()
+    assert [abs(r["pos"] - 910) <= 60 for r in points] == [True]
