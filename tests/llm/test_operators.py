@@ -207,6 +207,20 @@ def test_repeated_passages(spark):
     assert passages.passages(docs.limit(0)).count() == 0
 
 
+def test_passages_in_pieces_and_with_changes(spark):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    own = lambda n: [word() for _ in range(n)]
+    whole, base = own(54), own(56)
+    changed = [word() if i % 8 == 7 else w for i, w in enumerate(base)]
+    rows = [(1, own(9) + whole[:27]), (2, whole[27:] + own(9)), (3, own(5) + whole + own(5)), (4, own(7) + whole), (11, own(20) + base), (12, own(3) + changed + own(9))]
+    # halves between the whole ones: only what runs over the middle meets
+    rows += [(20, whole[:27] + own(4)), (21, own(4) + whole[27:]), (5000, own(8) + whole)]
+    got = {(r["doc_id"], r["source_doc"]): r for r in passages.passages(make(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    assert (got[4, 3]["from_word"], got[4, 3]["to_word"], got[4, 3]["source_from"], got[4, 3]["identity"]) == (7, 61, 5, 1.0)
+    assert any(d == 5000 and s in (3, 4) for d, s in got)
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://a", "<p>ß\r\n\r\n</p>"), (2, None, "<p>ß\r\n\r\n</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e e", "WARC/1.1\r\n"), (None, "http://n", "lone"), (2, "http://b", "<p>ß\r\n\r\n</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("own"))
