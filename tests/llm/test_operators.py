@@ -218,6 +218,7 @@ def test_passages_in_pieces_and_with_changes(spark):
     rows += [(20, whole[:27] + own(4)), (21, own(4) + whole[27:]), (5000, own(8) + whole)]
     got = {(r["doc_id"], r["source_doc"]): r for r in passages.passages(make(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
     assert (got[4, 3]["from_word"], got[4, 3]["to_word"], got[4, 3]["source_from"], got[4, 3]["identity"]) == (7, 61, 5, 1.0)
+    assert got[12, 11]["to_word"] - got[12, 11]["from_word"] >= 54 and 0.85 <= got[12, 11]["identity"] < 0.9
     assert any(d == 5000 and s in (3, 4) for d, s in got)
 
 
