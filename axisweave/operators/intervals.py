@@ -28,11 +28,18 @@ def _islands(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
 def coalesce_intervals(rows: DataFrame, radius: int = 0, keys: list[str] | None = None, width: int = TILE) -> DataFrame:
     """Union of intervals: overlapping and adjacent ones merge, as do those with a gap of at most ``radius`` positions.
 
-    First within tiles, which leaves a few runs for each, then over all runs of a key.
+    Runs are merged within tiles first. A tile's runs are apart, so only its first and last run and the one that what came before runs
+    into can go on in another tile: at most three rows a tile meet by key, the others are whole or lie within what came before.
     """
     keys = KEYS if keys is None else keys
     local = _islands(rows.select(*keys, "start", "stop", tile("start", width).alias("_tile")), [*keys, "_tile"], radius)
-    return _islands(local.drop("_tile"), keys, radius)
+    tiles = local.groupBy(*keys, "_tile").agg(F.max("stop").alias("_stop"), F.min("start").alias("_low"), F.max("start").alias("_high"))
+    before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = tiles.select(*keys, "_tile", "_low", "_high", F.max("_stop").over(before).alias("_carry"))
+    met = F.coalesce(F.col("start") - F.col("_carry") - 1 <= radius, F.lit(False))
+    edge = F.col("start").isin(F.col("_low"), F.col("_high")) | (met & (F.col("stop") > F.col("_carry")))
+    runs = local.join(tiles, [*keys, "_tile"]).where(edge | ~met).withColumn("_tile", F.when(edge, F.lit(None)).otherwise(F.col("_tile")))
+    return _islands(runs.select(*keys, "_tile", "start", "stop"), [*keys, "_tile"], radius).drop("_tile")
 
 
 def depth_runs(rows: DataFrame, keys: list[str] | None = None, width: int = TILE, weight: str | None = None) -> DataFrame:
@@ -78,25 +85,30 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> Data
     return covered_by(a, b, (F.col("a") > 0) & (F.col("b") > 0), keys)
 
 
-def fragment(rows: DataFrame) -> DataFrame:
-    """Elementary pieces: the covered positions cut at every start and after every stop."""
-    cuts = rows.select(*KEYS, F.explode(F.array(F.col("start"), F.col("stop") + 1)).alias("start")).distinct()
-    runs = depth_runs(rows)
-    # a run of constant depth may hide cuts (an end and a start at one place): cut it at all of them
-    inner = overlap_join(runs, cuts.withColumn("stop", F.col("start")), suffix="_cut").where("start_cut > start").select(*KEYS, "start", "stop", F.col("start_cut").alias("p"))
-    edges = inner.groupBy(*KEYS, "start", "stop").agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    pieces = runs.join(edges, [*KEYS, "start", "stop"], "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<int>")))
-    begins = F.concat(F.array("start"), F.col("ps"))
-    stops = F.concat(F.transform("ps", lambda p: p - 1), F.array("stop"))
-    return pieces.select(*KEYS, F.inline(F.arrays_zip(begins.alias("start"), stops.alias("stop"))))
+def fragment(rows: DataFrame, keys: list[str] | None = None, width: int = TILE) -> DataFrame:
+    """Elementary pieces: the covered positions cut at every start and after every stop.
+
+    As depth_runs(), but every cut is kept, also where starts and stops balance; a piece reaches to the next cut.
+    """
+    keys = KEYS if keys is None else keys
+    ends = rows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("stop") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
+    steps = ends.select(*keys, "x.pos", "x.d").groupBy(*keys, "pos").agg(F.sum("d").alias("d")).withColumn("_tile", tile("pos", width))
+    tiles = steps.groupBy(*keys, "_tile").agg(F.sum("d").alias("_d"), F.min("pos").alias("_first"))
+    order = Window.partitionBy(*keys).orderBy("_tile")
+    tiles = tiles.select(*keys, "_tile", F.coalesce(F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(order).alias("_next"))
+    inside = Window.partitionBy(*keys, "_tile").orderBy("pos")
+    cut = steps.join(tiles, [*keys, "_tile"]).select(
+        *keys, F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(inside), F.col("_next")) - 1).alias("stop"), (F.col("_base") + F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("_depth")
+    )
+    return cut.where("_depth > 0").drop("_depth")
 
 
 def split_at(rows: DataFrame, points: DataFrame, before: bool = True) -> DataFrame:
     """Intervals cut before (or after) each point (chr, strand, pos) within them; ``piece`` counts from 1."""
     at = points.select(*KEYS, (F.col("pos") if before else F.col("pos") + 1).alias("start")).distinct()
-    hits = overlap_join(rows, at.withColumn("stop", F.col("start")), suffix="_p", how="left").where("start_p is null or start_p > start")
     extra = rows.columns
-    cuts = rows.join(hits.groupBy(*extra).agg(F.array_sort(F.collect_set("start_p")).alias("_ps")), extra, "left")
+    hits = overlap_join(rows.distinct(), at.withColumn("stop", F.col("start")), suffix="_p").where("start_p > start").groupBy(*extra).agg(F.array_sort(F.collect_set("start_p")).alias("_ps"))
+    cuts = _null_safe_join(rows, hits, extra, "left")
     ps = F.coalesce("_ps", F.array().cast("array<int>"))
     pieces = F.arrays_zip(F.concat(F.array("start"), ps).alias("start"), F.concat(F.transform(ps, lambda p: p - 1), F.array("stop")).alias("stop"))
     others = [c for c in extra if c not in ("start", "stop")]
@@ -115,8 +127,7 @@ def overlap_join(a: DataFrame, b: DataFrame, suffix: str = "_b", keys: list[str]
     """
     keys = KEYS if keys is None else keys
     named = b.select(*keys, *[F.col(c).alias(c + suffix) for c in b.columns if c not in keys])
-    left = a.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else a
-    x = left.withColumn("_bin", _bins(width))
+    x = a.withColumn("_bin", _bins(width))
     y = b.select(*b.columns, _bins(width).alias("_bin")).select(*keys, "_bin", *[F.col(c).alias(c + suffix) for c in b.columns if c not in keys])
     s, e = F.col(f"start{suffix}"), F.col(f"stop{suffix}")
     pairs = x.join(y, [*keys, "_bin"]).where((F.col("start") <= e) & (F.col("stop") >= s) & (F.col("_bin") == F.floor(F.greatest(F.col("start"), s) / width))).drop("_bin")
@@ -125,16 +136,21 @@ def overlap_join(a: DataFrame, b: DataFrame, suffix: str = "_b", keys: list[str]
     out = [*a.columns, *[c for c in named.columns if c not in keys]]
     if how == "left":
         pairs = pairs.select(*a.columns, *[c for c in named.columns if c not in keys])
-        missing = a.join(pairs.select(*a.columns).distinct(), a.columns, "left_anti")
+        missing = _null_safe_join(a, pairs.select(*a.columns).distinct(), a.columns, "left_anti")
         return pairs.unionByName(missing, allowMissingColumns=True).select(*out)
     return pairs.select(*out)
 
 
+def _null_safe_join(a: DataFrame, b: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """a join b where all the columns are the same, null being the same as null; columns come once."""
+    named = b.withColumnsRenamed({c: f"_same_{c}" for c in columns})
+    return a.join(named, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in columns], how).drop(*[f"_same_{c}" for c in columns])
+
+
 def overlap_semi(a: DataFrame, b: DataFrame, anti: bool = False, condition: Column | None = None, **more) -> DataFrame:
     """Rows of a with (or, anti, without) an overlapping row in b; identical rows of a stay as often as they are."""
     hit = overlap_join(a.distinct(), b.select(*KEYS, "start", "stop").distinct(), condition=condition, **more).select(*a.columns).distinct()
-    same = [a[c].eqNullSafe(hit[c]) for c in a.columns]
-    return a.join(hit, same, "left_anti" if anti else "left_semi")
+    return _null_safe_join(a, hit, a.columns, "left_anti" if anti else "left_semi")
 
 
 def nearest(points: DataFrame, sites: DataFrame, after: bool = False, keys: list[str] | None = None, width: int = TILE) -> DataFrame:

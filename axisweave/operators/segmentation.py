@@ -137,30 +137,124 @@ def odds(log_confidence: float) -> float:
     return float("inf") if rest <= 0 else float(-np.log(rest))
 
 
+SHAPES = {"free": ("any",), "valley": ("decreasing", "increasing"), "peak": ("increasing", "decreasing")}
+
+
+def segment_shaped(ys: list[np.ndarray], prior: Prior, shape: str = "free", segments: int | None = None) -> tuple[list[int], list[list[float]]]:
+    """The best cuts and each segment's means, as segment() returns them, for other shapes of the levels.
+
+    free: no constraint; valley: all falling steps come before all rising ones; peak: the other way round. A step rises or falls in the sum of
+    the samples, against the best segmentation that follows. ``segments`` fixes the number of segments (free only; ValueError if there are fewer bins).
+    """
+    n, steps = len(ys[0]), SHAPES[shape]
+    if segments is not None and (shape != "free" or not 1 <= segments <= n):
+        raise ValueError("a number of segments goes with the free shape, and with as many bins at least")
+    ev = [Evidence(y, prior) for y in ys]
+    log_g, over = length_prior(n, prior.segment_r, prior.segment_p)
+    # states: the kinds of steps that may still come or, with a fixed number, the segments that must still come
+    states = len(steps) if segments is None else segments
+    best, level = np.full((states, n + 1), -np.inf), np.zeros((states, n + 1))
+    nxt, into = np.full((states, n), -1), np.zeros((states, n), int)
+    for s in range(n - 1, -1, -1):
+        rows = [e.row(s) for e in ev]
+        score, mean = sum(x[0] for x in rows), sum(x[1] for x in rows)
+        size = n - s
+        whole = score[-1] + (over[size - 2] if size > 1 else 0.0)
+        first = log_g[: size - 1] if s else np.where(np.arange(size - 1) > 0, over[np.maximum(np.arange(size - 1) - 1, 0)], 0.0)
+        for g in range(states):
+            top, cut, then = (whole if segments is None or g == 0 else -np.inf), -1, g
+            for d in range(g, states) if segments is None else range(g - 1, g):
+                if size < 2 or d < 0:
+                    continue
+                after = level[d, s + 1 : n]
+                kind = steps[d] if segments is None else "any"
+                ok = np.ones(size - 1, bool) if kind == "any" else after < mean[:-1] if kind == "decreasing" else after > mean[:-1]
+                total = np.where(ok, score[:-1] + first + best[d, s + 1 : n], -np.inf)
+                at = int(np.argmax(total))
+                if total[at] > top:
+                    top, cut, then = total[at], at, d
+            best[g, s], nxt[g, s], into[g, s] = top, (s + cut + 1 if cut >= 0 else n), then
+            level[g, s] = mean[cut] if cut >= 0 else mean[-1]
+    cuts, levels, s, g = [], [], 0, states - 1 if segments is not None else 0
+    while s < n:
+        to, then = int(nxt[g, s]), int(into[g, s])
+        levels.append([float(np.mean(y[s:to])) for y in ys])
+        if to < n:
+            cuts.append(to - 1)
+        s, g = to, then
+    return cuts, levels
+
+
+def sample_cuts(ys: list[np.ndarray], prior: Prior, times: int, seed: int = 0) -> list[list[int]]:
+    """Segmentations drawn from the posterior without constraints: each the cuts, drawn from the first bin on by the suffix sums."""
+    n = len(ys[0])
+    ev = [Evidence(y, prior) for y in ys]
+    log_g, over = length_prior(n, prior.segment_r, prior.segment_p)
+    edge = np.concatenate([[0.0], over])[:n]
+    suffix, rows = np.zeros(n + 1), []
+    for s in range(n - 1, -1, -1):
+        score = sum(e.row(s)[0] for e in ev)
+        inner = edge[: n - s - 1] if s == 0 else log_g[: n - s - 1]
+        terms = score + np.append(inner, edge[n - s - 1]) + suffix[s + 1 :]
+        suffix[s] = np.logaddexp.reduce(terms)
+        rows.append(np.cumsum(np.exp(terms - suffix[s])))
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(times):
+        s, cuts = 0, []
+        while s < n:
+            walk = rows[n - 1 - s]
+            s += 1 + min(int(np.searchsorted(walk, rng.random() * walk[-1])), n - s - 1)
+            if s < n:
+                cuts.append(s - 1)
+        out.append(cuts)
+    return out
+
+
 OUT = "chr string, strand string, start int, stop int, sample_levels array<array<double>>, pos int, cut int, confidence double, log_odds double"
 
 
-def change_points(bins: DataFrame, width: int, prior: Prior | None = None, mode: str | None = None, min_bins: int = 1) -> DataFrame:
+def _signals(rows: pd.DataFrame, start: int, stop: int, width: int) -> tuple[list[np.ndarray], int]:
+    """Each sample's values of all bins of the exon (0 where there is no row), and the bins' width."""
+    step = int(rows["width"].iloc[0]) if "width" in rows else width
+    n = max(-(-(stop - start + 1) // step), int(rows["bin"].max()) + 1)
+    wide = rows.pivot_table(index="bin", columns="sample", values="y", aggfunc="sum", fill_value=0).reindex(range(n), fill_value=0)
+    return [wide[c].to_numpy(float) for c in sorted(wide.columns)], step
+
+
+def change_points(bins: DataFrame, width: int, prior: Prior | None = None, mode: str | None = None, min_bins: int = 0, shift: bool = True, segments: int | None = None) -> DataFrame:
     """Change points of exons from binned coverage.
 
-    bins: chr, strand, start, stop (the exon), sample, bin, y; a column width, if there is one, holds the exon's own bin width. A group is one exon with its samples, whose bins are bounded by its
-    length (coarsen very long exons first). mode defaults to falling coverage in the direction of the strand. Returns a row for each cut that
-    is over min_bins from both ends: its position, the levels of all samples before and after it, confidence and log odds.
+    bins: chr, strand, start, stop (the exon), sample, bin, y; a bin without a row counts as 0. A column width, if there is one, holds the exon's own
+    bin width, a column mode its own mode. A group is one exon with its samples, whose bins are bounded by its length (coarsen very long exons first).
+    mode is that of segment() or segment_shaped() (with ``segments``, the number of segments); it defaults to falling coverage in the direction of the strand. Returns a row for each
+    cut that is over min_bins from both ends and whose position lies within the exon: the position (a bin on where coverage rises, with ``shift``), the levels of
+    all samples before and after it, confidence and log odds.
     """
     prior = prior or Prior()
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         chr_, strand, start, stop = key
-        wide = rows.pivot_table(index="bin", columns="sample", values="y", aggfunc="sum", fill_value=0).sort_index()
-        ys = [wide[c].to_numpy(float) for c in sorted(wide.columns)]
-        step = int(rows["width"].iloc[0]) if "width" in rows else width
-        how = mode or ("increasing" if strand == "-" else "decreasing")
-        cuts, levels = segment(ys, prior, how)
+        ys, step = _signals(rows, start, stop, width)
+        how = rows["mode"].iloc[0] if "mode" in rows else mode or ("increasing" if strand == "-" else "decreasing")
+        cuts, levels = segment_shaped(ys, prior, how, segments) if how in SHAPES else segment(ys, prior, how)
         confidence = cut_confidence(ys, prior) if cuts else np.zeros(0)
         out = []
         for i, c in enumerate(cuts):
-            if min_bins < c < len(ys[0]) - min_bins - 1:
-                out.append((chr_, strand, start, stop, [levels[i], levels[i + 1]], int(start + (c + (levels[i + 1] > levels[i])) * step + step // 2), c, float(np.exp(confidence[c])), odds(confidence[c])))
+            pos = int(start + (c + (shift and sum(levels[i + 1]) > sum(levels[i]))) * step + step // 2)
+            if min_bins < c < len(ys[0]) - min_bins - 1 and start < pos < stop:
+                out.append((chr_, strand, start, stop, [levels[i], levels[i + 1]], pos, c, float(np.exp(confidence[c])), odds(confidence[c])))
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in OUT.split(", ")])
 
     return bins.groupBy("chr", "strand", "start", "stop").applyInPandas(run, OUT)
+
+
+def sampled_change_points(bins: DataFrame, width: int, times: int, prior: Prior | None = None, seed: int = 0) -> DataFrame:
+    """(chr, strand, start, stop, cut, share): the bins after which drawn segmentations have a cut, and the share of ``times`` draws that do."""
+    prior = prior or Prior()
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ys, _ = _signals(rows, key[2], key[3], width)
+        n = pd.Series([c for cuts in sample_cuts(ys, prior, times, seed) for c in cuts], dtype="int64").value_counts().sort_index()
+        return pd.DataFrame([(*key, int(c), k / times) for c, k in n.items()], columns=["chr", "strand", "start", "stop", "cut", "share"])
+
+    return bins.groupBy("chr", "strand", "start", "stop").applyInPandas(run, "chr string, strand string, start int, stop int, cut int, share double")

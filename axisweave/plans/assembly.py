@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisweave.operators import coverage, exons, graph, segmentation, splice
+from axisweave.operators import exons, graph, segmentation, splice
 from axisweave.operators import intervals as iv
 from axisweave.sources.regions import Config
 
@@ -22,29 +22,36 @@ class Assembly:
 
 
 def coarsened(reads: DataFrame, regions: DataFrame, config: Config) -> DataFrame:
-    """Binned counts with at most max_bins bins to a region: longer regions get wider bins (column width)."""
+    """Binned counts with at most max_bins bins to a region: longer regions get wider bins (column width). A bin without reads has no row,
+    but for the first, so that each region has one."""
     size = F.col("stop") - F.col("start") + 1
     sized = regions.withColumn("width", F.greatest(F.lit(config.bin_width), F.ceil(size / config.max_bins)).cast("int"))
     hits = iv.overlap_join(sized, reads.select(*iv.KEYS, "start", "stop"), suffix="_r")
     at = lambda c: F.expr(f"cast(({c} - start) div width as int)")
     marks = hits.select(*sized.columns, F.explode(F.array(F.struct(at("start_r").alias("bin"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(at("stop_r").alias("bin"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("x")).select(*sized.columns, "x.*")
     marks = marks.where("bin >= 0 and bin <= (stop - start) div width").groupBy(*sized.columns, "bin").agg(F.greatest(F.sum("s"), F.sum("e")).alias("y"))
-    every = sized.withColumn("bin", F.explode(F.sequence(F.lit(0), F.expr("cast((stop - start) div width as int)"))))
-    return every.join(marks, [*sized.columns, "bin"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return marks.unionByName(sized.withColumn("bin", F.lit(0)).withColumn("y", F.lit(0).cast("long")))
 
 
-def assemble(alignments: DataFrame, config: Config | None = None) -> Assembly:
-    """alignments: chr, strand, start, cigar (strand of the library)."""
+def assemble(alignments: DataFrame, config: Config | None = None, known: DataFrame | None = None) -> Assembly:
+    """alignments: chr, strand, start, cigar (strand of the library); known: regions (chr, start, stop) whose gaps are bridged.
+
+    exons: spliced exons with terminal ones cut back from antisense ones, and what the change points leave of them.
+    """
     config = config or Config()
     aligned = splice.aligned(alignments)
-    segments = iv.coalesce_intervals(iv.expressed(aligned, config.threshold), config.merge_radius)
+    expressed = iv.expressed(aligned, config.threshold)
+    segments = iv.coalesce_intervals(expressed, config.merge_radius) if known is None else exons.bridge_known(expressed, known, config.merge_radius)
     judged = splice.judge_junctions(splice.junctions(alignments), splice.site_counts(alignments), config.alpha)
     accepted = judged.where("accepted").select(*iv.KEYS, "start", "stop")
-    found = exons.spliced_exons(segments, accepted)
-    long_ = found.where(F.col("type").isin("5p_exon", "3p_exon") & (F.col("stop") - F.col("start") + 1 >= config.min_terminal))
-    bins = coarsened(aligned, long_.select(*iv.KEYS, "start", "stop").distinct(), config).withColumn("sample", F.lit("s"))
+    found = exons.trim_antisense(exons.spliced_exons(segments, accepted))
+    windows = exons.eligible_segments(found, config.bin_width, config.min_terminal, config.internal)
+    bins = coarsened(aligned, windows.select(*iv.KEYS, "start", "stop", "mode").distinct(), config).withColumn("sample", F.lit("s"))
     points = segmentation.change_points(bins, config.bin_width, segmentation.Prior(min_fold=config.min_fold))
-    return Assembly(segments, judged, found, exons.unspliced_remainder(segments, found), points)
+    points = points.withColumn("before", F.col("sample_levels")[0][0]).withColumn("after", F.col("sample_levels")[1][0])
+    points = exons.filter_change_points(points.drop("start", "stop"), found, accepted, config.bin_width)
+    cut = exons.change_point_exons(points, found)
+    return Assembly(segments, judged, found.select(*iv.KEYS, "start", "stop", "type").unionByName(cut).distinct(), exons.unspliced_remainder(segments, found), points)
 
 
 def loci(found: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -74,11 +81,11 @@ def common_terminal_exons(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def compare(one: tuple[DataFrame, DataFrame], two: tuple[DataFrame, DataFrame], config: Config | None = None) -> DataFrame:
-    """(exons, reads) of two samples to joint change points with each sample's usage and their difference."""
+    """(exons, reads) of two samples to joint change points with each sample's usage and their difference. Exons of over max_bins bins get wider ones."""
     config = config or Config()
     span = common_terminal_exons(one[0], two[0])
-    bins = [coverage.binned_max_end(reads, span, config.bin_width).withColumn("sample", F.lit(s)) for s, (_, reads) in (("1", one), ("2", two))]
-    points = segmentation.change_points(bins[0].unionByName(bins[1]), config.bin_width, segmentation.Prior(min_fold=config.min_fold))
+    bins = [coarsened(reads, span, config).withColumn("sample", F.lit(s)) for s, (_, reads) in (("1", one), ("2", two))]
+    points = segmentation.change_points(bins[0].unionByName(bins[1]), config.bin_width, segmentation.Prior(min_fold=config.min_fold), shift=False)
     up, down = (F.when(F.col("strand") == "-", F.col("sample_levels")[1 - i]).otherwise(F.col("sample_levels")[i]) for i in (0, 1))
     rows = points.withColumn("up", up).withColumn("down", down)
     for i in (0, 1):
@@ -86,16 +93,55 @@ def compare(one: tuple[DataFrame, DataFrame], two: tuple[DataFrame, DataFrame],
     return rows.withColumn("differential_usage", F.col("usage_1") - F.col("usage_2"))
 
 
-def isoforms(located: DataFrame, accepted: DataFrame, config: Config | None = None) -> DataFrame:
-    """Paths of exons through accepted junctions, by locus."""
-    config = config or Config()
+#: Columns of the table that compare_table() gives, in order (fixed values).
+COMPARE_COLUMNS = "samples locus_id changepoint confidence log_odds upstream_segment downstream_segment locus strand upstream_cov downstream_cov site_usage differential_usage".split()
+
+
+def compare_table(points: DataFrame, names: tuple[str, str] = ("1", "2")) -> DataFrame:
+    """compare()'s rows as the table that is written: a row for each change point, with lists by sample joined by commas.
+
+    Regions are chr:start-stop; the segments beside a change point reach to the exon's ends or the next change point. Ids number the exons in order of place.
+    """
+    order = Window.partitionBy(*iv.KEYS, "start", "stop").orderBy("pos")
+    locus = F.concat("chr", F.lit(":"), "start", F.lit("-"), "stop")
+    place = points.withColumn("_low", F.coalesce(F.lag("pos").over(order), F.col("start"))).withColumn("_high", F.coalesce(F.lead("pos").over(order) - 1, F.col("stop")))
+    span = lambda a, b: F.concat("chr", F.lit(":"), a, F.lit("-"), b)
+    left, right = span(F.col("_low"), F.col("pos") - 1), span(F.col("pos"), F.col("_high"))
+    minus = F.col("strand") == "-"
+    joined = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.3f", v)), ",")
+    return place.select(
+        F.lit(",".join(names)).alias("samples"), F.concat(F.lit("locus."), locus).alias("locus_id"), span(F.col("pos"), F.col("pos")).alias("changepoint"),
+        F.format_string("%.3e", "confidence").alias("confidence"), F.format_string("%.3e", "log_odds").alias("log_odds"), F.when(minus, right).otherwise(left).alias("upstream_segment"), F.when(minus, left).otherwise(right).alias("downstream_segment"),
+        locus.alias("locus"), "strand", joined("up").alias("upstream_cov"), joined("down").alias("downstream_cov"), F.concat_ws(",", F.format_string("%.3f", "usage_1"), F.format_string("%.3f", "usage_2")).alias("site_usage"), F.format_string("%.3f", "differential_usage").alias("differential_usage"),
+    ).select(*COMPARE_COLUMNS)
+
+
+def exon_edges(located: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(locus_id, a, b): exons (chr:strand:start:stop) that an accepted junction joins, in the direction of the strand."""
     plus = F.col("strand") == "+"
     x = located.withColumn("id", F.concat_ws(":", "chr", "strand", "start", "stop"))
     out = x.select(*iv.KEYS, "locus_id", F.col("id").alias("a"), F.when(plus, F.col("stop") + 1).otherwise(F.col("start") - 1).alias("p5"))
     into = x.select(*iv.KEYS, "locus_id", F.col("id").alias("b"), F.when(plus, F.col("start") - 1).otherwise(F.col("stop") + 1).alias("p3"))
     j = accepted.select(*iv.KEYS, F.when(plus, F.col("start")).otherwise(F.col("stop")).alias("p5"), F.when(plus, F.col("stop")).otherwise(F.col("start")).alias("p3")).distinct()
-    edges = out.join(j, [*iv.KEYS, "p5"]).join(into, [*iv.KEYS, "locus_id", "p3"]).select("locus_id", "a", "b").distinct()
-    return graph.enumerate_paths(edges, config.max_isoforms)
+    return out.join(j, [*iv.KEYS, "p5"]).join(into, [*iv.KEYS, "locus_id", "p3"]).select("locus_id", "a", "b").distinct()
+
+
+def isoforms(located: DataFrame, accepted: DataFrame, config: Config | None = None) -> DataFrame:
+    """Paths of exons through accepted junctions, by locus; loci over max_isoforms are left out and listed by skipped()."""
+    return graph.enumerate_paths(exon_edges(located, accepted), (config or Config()).max_isoforms)
+
+
+def skipped(located: DataFrame, accepted: DataFrame, config: Config | None = None) -> DataFrame:
+    """Loci of which isoforms() leaves paths out."""
+    return graph.skipped_loci(exon_edges(located, accepted), (config or Config()).max_isoforms)
+
+
+def isoform_features(paths: DataFrame) -> DataFrame:
+    """isoforms() as features to be written: one exon row for each member of a path, with transcript_id = locus.k counted over the locus."""
+    number = F.row_number().over(Window.partitionBy("locus_id").orderBy("first", "k")) - 1
+    member = paths.withColumn("transcript_id", F.concat_ws(".", "locus_id", number.cast("string"))).select("locus_id", "transcript_id", F.posexplode("path").alias("nth", "id"))
+    part = F.split("id", ":")
+    return member.select(part[0].alias("chr"), part[1].alias("strand"), part[2].cast("int").alias("start"), part[3].cast("int").alias("stop"), F.lit("exon").alias("type"), "locus_id", "transcript_id", "nth")
 
 
 def diff(located: DataFrame, reference: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axisweave.functions import stats
-from axisweave.operators import coverage, exons, graph, segmentation, splice
+from axisweave.operators import coverage, exons, graph, splice
 from axisweave.operators import intervals as iv
 from axisweave.plans import views
 from axisweave.plans.views import islands, runs, sql, table
@@ -315,12 +315,6 @@ def fraction_covered(spark, sf_dir):
     return coverage.fraction_covered(views.reads(spark, sf_dir), _regions(spark, sf_dir), 2).withColumn("fraction", F.round("fraction", 9))
 
 
-@query(None)
-def least_fragment_median(spark, sf_dir):
-    a, _ = ab(spark, sf_dir)
-    return coverage.least_fragment_median(views.reads(spark, sf_dir), a)
-
-
 MAX_END = f"""SELECT chr, strand, start, stop, CAST(bin AS INT) AS bin, greatest(coalesce(s, 0), coalesce(e, 0)) AS y FROM (SELECT *, unnest(generate_series(0, (stop - start) // 20)) AS bin FROM g)
   LEFT JOIN (SELECT g.chr, g.strand, g.start, g.stop, CAST(trunc((r.start - g.start) / 20.0) AS INT) AS bin, count(*) AS s FROM g JOIN r ON r.chr = g.chr AND r.strand = g.strand AND r.start <= g.stop AND r.stop >= g.start GROUP BY ALL) USING (chr, strand, start, stop, bin)
   LEFT JOIN (SELECT g.chr, g.strand, g.start, g.stop, CAST(trunc((r.stop - g.start) / 20.0) AS INT) AS bin, count(*) AS e FROM g JOIN r ON r.chr = g.chr AND r.strand = g.strand AND r.start <= g.stop AND r.stop >= g.start GROUP BY ALL) USING (chr, strand, start, stop, bin)"""
@@ -388,9 +382,10 @@ def insert_size(spark, sf_dir):
     return coverage.insert_size(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
-@query(sql("reads", f", s AS (SELECT chr, strand, stop + 1 AS start, stop + 40 AS stop FROM reads WHERE strand = '+' AND nh = 2) {islands('s')}"))
+@query(sql("reads", f", s AS (SELECT chr, strand, CAST(CASE strand WHEN '+' THEN stop + 1 ELSE start - 40 END AS INT) AS start, CAST(CASE strand WHEN '+' THEN stop + 40 ELSE start - 1 END AS INT) AS stop FROM reads) {islands('s')}"))
 def spannable_regions(spark, sf_dir):
-    s = views.reads(spark, sf_dir).where("strand = '+' and nh = 2").select("chr", "strand", (F.col("stop") + 1).alias("start"), (F.col("stop") + 40).alias("stop"))
+    plus = F.col("strand") == "+"
+    s = views.reads(spark, sf_dir).select("chr", "strand", F.when(plus, F.col("stop") + 1).otherwise(F.col("start") - 40).alias("start"), F.when(plus, F.col("stop") + 40).otherwise(F.col("start") - 1).alias("stop"))
     return iv.coalesce_intervals(s)
 
 
@@ -461,7 +456,7 @@ EXONS = """x AS (SELECT DISTINCT s.chr, s.strand, s.start AS s, s.stop AS e, d.p
       WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.chr = p.chr AND j.strand = p.strand AND j.start >= least(donor, acceptor) + 1 AND j.stop <= greatest(donor, acceptor) - 1)
     UNION SELECT chr, strand, CASE strand WHEN '+' THEN s ELSE donor + 1 END, CASE strand WHEN '+' THEN donor - 1 ELSE e END, '5p_exon' FROM x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.chr = x.chr AND p.strand = x.strand AND p.s = x.s AND p.donor = x.donor)
     UNION SELECT chr, strand, CASE strand WHEN '+' THEN acceptor + 1 ELSE s END, CASE strand WHEN '+' THEN e ELSE acceptor - 1 END, '3p_exon' FROM y WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.chr = y.chr AND p.strand = y.strand AND p.s = y.s AND p.acceptor = y.acceptor)),
-  exs AS (SELECT * FROM ex WHERE stop >= start)"""
+  exs AS (SELECT * FROM ex WHERE stop >= start AND NOT EXISTS (SELECT 1 FROM j WHERE j.chr = ex.chr AND j.strand = ex.strand AND j.start >= ex.start AND j.stop <= ex.stop))"""
 
 
 @query(with_splice("SELECT chr, strand, start, stop, type FROM exs", JUNC, BLOCKS, SEGMENTS, EXONS))
@@ -469,12 +464,6 @@ def spliced_exons(spark, sf_dir):
     return exons.spliced_exons(*_segments(spark, sf_dir))
 
 
-@query(None)
-def unspliced_remainder(spark, sf_dir):
-    s, j = _segments(spark, sf_dir)
-    return exons.unspliced_remainder(s, exons.spliced_exons(s, j))
-
-
 @query(with_splice("SELECT x.chr, x.strand, x.start, x.stop, j.start AS junction, j.stop AS junction_stop FROM exs x JOIN j ON x.chr = j.chr AND x.strand = j.strand AND CASE x.strand WHEN '+' THEN x.stop + 1 = j.start ELSE x.start - 1 = j.stop END", JUNC, BLOCKS, SEGMENTS, EXONS))
 def graph_children(spark, sf_dir):
     s, j = _segments(spark, sf_dir)
@@ -499,24 +488,6 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), e)
 
 
-@query(None)
-def path_counts(spark, sf_dir):
-    return graph.count_paths(_edges(spark, sf_dir))
-
-
-@query(None)
-def path_enumeration(spark, sf_dir):
-    return graph.enumerate_paths(_edges(spark, sf_dir)).select("locus_id", "first", "k", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
-
-
-@query(None)
-def change_points(spark, sf_dir):
-    """Events by hour and kind: both halves of the users are samples."""
-    r = views.reads(spark, sf_dir)
-    y = r.groupBy("chr", F.when(F.col("user_id") % 2 == 0, "s1").otherwise("s2").alias("sample"), F.expr("start div 360").alias("bin")).agg(F.count("*").alias("y"))
-    return segmentation.change_points(y.select("chr", F.lit("+").alias("strand"), F.lit(1).alias("start"), F.lit(43200).alias("stop"), "sample", "bin", "y"), 360, mode="fold")
-
-
 @query("""SELECT chr, strand, pos, before, after FROM (SELECT *, coalesce(max(lev) OVER (PARTITION BY seg, strand ORDER BY far ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM (
   SELECT event_type AS chr, event_type AS seg, CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END AS strand, event_id AS pos, min(value) AS before, min(value / 2) AS after, CASE WHEN user_id % 2 = 0 THEN min(value) ELSE min(value / 2) END AS lev, CASE WHEN user_id % 2 = 0 THEN -event_id ELSE event_id END AS far FROM events GROUP BY event_type, user_id % 2, event_id)) WHERE lev > best""")
 def running_best(spark, sf_dir):
@@ -674,3 +645,6 @@ def contigs(spark, sf_dir):
 @query(sql("reads", "SELECT read_id, start FROM reads WHERE chr = 'click' AND start <= 20000 AND stop >= 10000"))
 def region_scan(spark, sf_dir):
     return views.reads(spark, sf_dir).where("chr = 'click' and start <= 20000 and stop >= 10000").select("read_id", "start")
+
+
+from axisweave.plans import more_queries  # noqa: E402, F401  (registers further queries)

@@ -98,6 +98,7 @@ class Config:
     min_terminal: int = 300
     max_bins: int = 20_000
     max_isoforms: int = 20
+    internal: bool = False
 
     def __post_init__(self) -> None:
         for name in ("threshold", "merge_radius", "min_terminal"):
