@@ -19,14 +19,29 @@ MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
+#: Rows and bytes of an Arrow batch; the session's own values are kept where they are smaller.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Have Arrow batches of bounded size, as texts can be long: each task holds several of them, in the JVM and in Python."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="axisweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it again. Survives lost executors."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/axisweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,11 +66,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column without copying; nulls read as empty."""
+    """(bytes, offsets) of a string or binary column without copying; nulls read as empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     large = pa.types.is_large_string(column.type)
-    if not large and not pa.types.is_string(column.type):
+    if not large and not pa.types.is_string(column.type) and not pa.types.is_binary(column.type):
         column, large = column.cast(pa.string()), False
     n = len(column)
     _, off, data = column.buffers()
@@ -156,17 +172,19 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
 
-def among(df: DataFrame, column: str, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows of df whose ``column`` may be in the one column of ids; a few others pass, so an exact join must follow.
+def among(df: DataFrame, column: str, ids: DataFrame, most: int = 27) -> DataFrame:
+    """Rows of df whose integer ``column`` is in the one column of ids, each once for each time that its value is in ids.
 
-    The filter is a bitmap of 2^bits bits in at most 2^(bits - 6) rows, whatever the number of ids; this bound lets it be broadcast,
-    so rows that can't match are dropped before any shuffle.
+    A bitmap with some 16 bits for each id, 2^most bits at most (2^(most - 6) rows of 16 bytes, which bounds the broadcast), drops most
+    other rows before the shuffle of the exact join. The join is an inner one: a semi join would be planned below the bitmap.
     """
     from pyspark.sql import functions as F
 
-    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
     (name,) = ids.columns
-    marks = ids.select(F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(1 << bits)).alias("_p")).selectExpr("_p div 64 as _word", "shiftleft(1L, cast(_p % 64 as int)) as _bit")
+    ids = store(ids.select(F.col(name).alias("_id")))
+    bits = min(most, max(16, ids.count().bit_length() + 4))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    marks = ids.select(place("_id").alias("_p")).selectExpr("_p div 64 as _word", "shiftleft(1L, cast(_p % 64 as int)) as _bit")
     marks = store(marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
-    kept = df.withColumn("_p", place).withColumn("_w", F.expr("_p div 64")).join(F.broadcast(marks), F.col("_w") == F.col("_word"))
-    return kept.where("getbit(_bits, cast(_p % 64 as int)) = 1").select(*df.columns)
+    kept = df.withColumn("_p", place(column)).withColumn("_w", F.expr("_p div 64")).join(F.broadcast(marks), F.col("_w") == F.col("_word"))
+    return kept.where("getbit(_bits, cast(_p % 64 as int)) = 1").join(ids, F.col(column) == F.col("_id")).select(*df.columns)

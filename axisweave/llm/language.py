@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from axisweave.llm.common import pieces, text_buffers
+from axisweave.llm.common import pieces, prepare, text_buffers
 
 PREDICTED = "lang_pred string, score double, languages array<string>, proportions array<double>"
 NAMES = ["lang_pred", "score", "languages", "proportions"]
@@ -169,6 +169,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ``und`` with score 0 for null texts and texts with no letter. Long texts are taken whole; the model (a table of
     buckets x languages floats) is broadcast. Columns of docs with these names are replaced; every row is kept as it is.
     """
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(*NAMES)
     at = kept.columns.index(text)

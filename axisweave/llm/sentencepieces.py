@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisweave.llm.common import pieces as slices
+from axisweave.llm.common import prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -280,6 +281,7 @@ def encode_texts(docs: DataFrame, seed: int = 1, dropout: float = 0.1, key: str
     Null and empty texts have no ids and are lossless. A null key counts as document 0; repeated rows are segmented alike. Columns of
     docs named ids, n_tokens or lossless are replaced.
     """
+    prepare(docs.sparkSession)
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
     kept = docs.drop("ids", "n_tokens", "lossless")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import U64, mix, pieces, span_hashes, text_buffers, word_spans
+from axisweave.llm.common import U64, mix, pieces, prepare, span_hashes, text_buffers, word_spans
 from axisweave.llm.language import fold
 
 #: Bytes of the prefixes that count as terms besides whole words, and how often a term must occur to count again.
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """Of every whole text: score (0 to 1) and predicted (score >= threshold). Null and empty texts score by the bias alone."""
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
