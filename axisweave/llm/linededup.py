@@ -1,8 +1,10 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard verification and distributed union-find.
 
 Signatures are one-permutation MinHash: a shingle's hash names a bin and a value, a bin keeps its least value, and an empty bin takes
-that of the next filled bin to its right (with the distance mixed in). Buckets are elected leaders in two steps, within a
-batch and then across batches, so a bucket that a third of all lines share sends one row from each batch.
+that of the first filled one in a fixed random order of its own (optimal densification, Shrivastava 2017), so that the bins of a band
+stay independent in short lines. Buckets are gathered in two steps: where a batch has a bucket more than LOCAL times, its rows are paired
+with a leader of the batch at once and the leader alone goes on, so a bucket that a third of all lines share sends at most LOCAL rows from
+each batch to the task of that bucket.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import GOLDEN, U64, as_long, mix, pieces, span_hashes, store, text_buffers
+from axisweave.llm.common import GOLDEN, U64, as_long, mix, pieces, prepare, store, text_buffers
 from axisweave.llm.linking import block_pairs, verified_links
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -22,8 +25,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, DEPTH = 12, 5
 #: Of the bins that are filled in one of both lines, 60 at most, a pair of similarity 0.8 agrees in this share with probability 0.99999 or more.
 LEAST_AGREEMENT = 0.58
-#: Bits of the bitmap that tells candidate lines when their texts are gathered.
-MARK_BITS = 25
+#: Rows of a bucket in a batch from which they are paired there.
+LOCAL = 8
+#: The bitmap that tells candidate lines when their texts are gathered has some 16 bits a line, 2^MOST_BITS at most.
+MOST_BITS = 28
+#: Bytes of text that are hashed at a time, so that scratch arrays stay in the processor's cache.
+SLICE = 500_000
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
+EMPTY = np.uint32(0xFFFFFFFF)
+TRIES = np.random.default_rng(7).integers(0, BANDS * DEPTH, (64, BANDS * DEPTH))
 
 
 def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -31,71 +42,97 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     data, off = text_buffers(column)
     cut = np.flatnonzero(data == 10)
     n = len(off) - 1
-    row = np.concatenate([np.arange(n), np.searchsorted(off, cut, side="right") - 1])
-    begin = np.concatenate([off[:-1], cut + 1])
-    order = np.lexsort((begin, row))
-    row, start = row[order], begin[order]
-    stop = np.concatenate([off[1:], cut])
-    stop_row = np.concatenate([np.arange(n), np.searchsorted(off, cut, side="right") - 1])
-    end = stop[np.lexsort((stop, stop_row))]
-    first = np.searchsorted(row, np.arange(n))
-    number = np.arange(len(row)) - first[row]
-    solid = np.flatnonzero(~np.isin(data, [9, 10, 11, 12, 13, 32]))
-    low, high = np.searchsorted(solid, start), np.searchsorted(solid, end)
-    some = high > low
-    start, end = start.copy(), end.copy()
-    start[some], end[some] = solid[low[some]], solid[high[some] - 1] + 1
-    end[~some] = start[~some]
+    count = np.bincount(np.searchsorted(off, cut, side="right") - 1, minlength=n) + 1
+    row = np.repeat(np.arange(n), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start, end = np.sort(np.concatenate([off[:-1], cut + 1])), np.sort(np.concatenate([off[1:], cut]))
+    left = right = np.arange(len(row))
+    for _ in range(32):
+        left = left[start[left] < end[left]]
+        left = left[WHITE[data[start[left]]]]
+        start[left] += 1
+        right = right[start[right] < end[right]]
+        right = right[WHITE[data[end[right] - 1]]]
+        end[right] -= 1
+    for i in np.union1d(left, right):  # longer runs of white space
+        raw = data[start[i] : end[i]].tobytes()
+        start[i] += len(raw) - len(raw.lstrip(b"\t\n\v\f\r "))
+        end[i] = start[i] + len(raw.strip(b"\t\n\v\f\r "))
     return data, start, end, row, number
 
 
 def line_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit id of each line; 0 for blank lines."""
-    out = np.zeros(len(start), U64)
-    some = np.flatnonzero(end > start)
-    out[some] = span_hashes(data, start[some], end[some]) | U64(1)
-    return out
+    raw = data.tobytes()
+    found = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], U64)
+    return np.where(end > start, found | U64(1), U64(0))
 
 
-def char_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of each run of k characters; a line of fewer is one shingle. Blank lines have none."""
+def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, start, end): the lines' ends counted in characters."""
     chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    if len(chars) == len(data):
+        return chars, start, end
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    a, b = lead[start], lead[end]
-    size = b - a
-    count = np.where(size >= k, size - k + 1, np.minimum(size, 1))
-    line = np.repeat(np.arange(len(start)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
-    stop = np.repeat(b, count)
-    h = np.zeros(len(line), U64)
-    long_ = bool((size >= k).all()) or not len(line)
+    return chars, lead[start], lead[end]
+
+
+def rolled(chars: np.ndarray, kind: type, k: int = SHINGLE) -> np.ndarray:
+    """An unmixed hash of the k characters from each place on, in unsigned integers of the kind."""
+    n = max(len(chars) - k + 1, 0)
+    chars = chars.astype(kind)
+    out, more = np.zeros(n, kind), np.empty(n, kind)
     with np.errstate(over="ignore"):
         for j in range(k):
-            c = chars[np.minimum(at + j, max(len(chars) - 1, 0))].astype(U64) + U64(1)
-            h = h * GOLDEN + (c if long_ else np.where(at + j < stop, c, U64(0)))
-    return mix(h), line
+            np.multiply(chars[j : j + n], kind(FACTORS[j] if kind is np.uint32 else FACTORS[j] * 0x9E3779B97F4A7C15 & (1 << 64) - 1), out=more)
+            out += more
+    return out
 
 
-def signatures(h: np.ndarray, line: np.ndarray, n: int, bins: int) -> np.ndarray:
-    """[n, bins] uint64; every line has at least one shingle."""
-    top = np.uint32(0xFFFFFFFF)
-    low = np.full(n * bins, top, np.uint32)
-    np.minimum.at(low, line * bins + ((h >> U64(32)) * U64(bins) >> U64(32)).astype(np.int64), np.minimum(h & U64(0xFFFFFFFF), U64(0xFFFFFFFE)).astype(np.uint32))
-    low = low.reshape(n, bins)
-    place = np.where(low != top, np.arange(bins), 4 * bins)
-    place = np.concatenate([place, place + bins], axis=1)
-    right = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    far = (right - np.arange(bins)).astype(U64)
-    return np.take_along_axis(low, right % bins, axis=1).astype(U64) | far << U64(32)
+def low_values(data: np.ndarray, start: np.ndarray, end: np.ndarray, bins: int = BANDS * DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the lines that have a shingle, [lines, bins] uint32): the least value of each bin, EMPTY where there is none."""
+    chars, a, b = characters(data, start, end)
+    h = rolled(chars, np.uint32)
+    with np.errstate(over="ignore"):
+        for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39), (15, 1)):
+            h ^= h >> np.uint32(shift)
+            h *= np.uint32(factor)
+    count = np.maximum(b - a - SHINGLE + 1, 0)
+    has = np.flatnonzero(count)
+    m, a, count = len(has), a[has], count[has]
+    # every place of the text goes to its line's bins, or to spare ones after the last line's
+    run, line = np.zeros(2 * m + 1, np.int64), np.full(2 * m + 1, m * bins)
+    run[1::2], line[1::2] = count, np.arange(m) * bins
+    run[0::2] = np.diff(np.concatenate([[0], np.stack([a, a + count], 1).reshape(-1), [len(h)]]))[0::2]
+    at = np.repeat(line, run)
+    with np.errstate(over="ignore"):
+        at += (h >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+        value = np.minimum(h * np.uint32(FACTORS[0]), EMPTY - np.uint32(1))
+    low = np.full((m + 1) * bins, EMPTY, np.uint32)
+    np.minimum.at(low, at, value)
+    return has, low[: m * bins].reshape(m, bins)
+
+
+def densified(low: np.ndarray) -> np.ndarray:
+    out = low.copy()
+    row, i = np.nonzero(low == EMPTY)
+    for order in TRIES:
+        value = low[row, order[i]]
+        ok = value != EMPTY
+        out[row[ok], i[ok]] = value[ok]
+        row, i = row[~ok], i[~ok]
+    out[row, i] = low[row, np.argmax(low != EMPTY, axis=1)[row]] if len(row) else 0
+    return out
 
 
-def own_bins(signature: np.ndarray) -> np.ndarray:
-    """[n, bins] uint16 of the bins that a line fills itself; 0 where a value is borrowed."""
-    return np.where(signature >> U64(32) == 0, np.maximum(mix(signature).astype(np.uint16), 1), 0).astype(np.uint16)
+def own_bins(low: np.ndarray) -> np.ndarray:
+    """[n, bins] uint16 of the bins that a line fills itself; 0 where it has none."""
+    with np.errstate(over="ignore"):
+        return np.where(low == EMPTY, 0, np.maximum(low * np.uint32(FACTORS[1]) >> np.uint32(16), 1)).astype(np.uint16)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    parts = signature.reshape(len(signature), BANDS, DEPTH)
+    parts = signature.reshape(len(signature), BANDS, DEPTH).astype(U64)
     key = np.broadcast_to(np.arange(BANDS, dtype=U64), parts.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for i in range(DEPTH):
@@ -103,16 +140,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def elect(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, id) in order, and the place of each row's leader (the least hash of both) among them."""
-    pair = np.lexsort((ids, bucket))
-    bucket, ids = bucket[pair], ids[pair]
-    new = np.append(True, (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
-    bucket, ids = bucket[new], ids[new]
-    order = np.lexsort((mix(bucket ^ ids), bucket))
+def by_bucket(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of the bucket, its leader (the least hash of the id, so that alike buckets have one leader) and its number of rows."""
+    order = np.lexsort((mix(ids), bucket))
     bucket, ids = bucket[order], ids[order]
-    head = np.append(True, bucket[1:] != bucket[:-1]) if len(ids) else np.zeros(0, bool)
-    return np.stack([bucket, ids]), np.maximum.accumulate(np.where(head, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
+    new = np.ones(len(ids), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])
+    bucket, ids = bucket[new], ids[new]
+    head = np.ones(len(ids), bool)
+    head[1:] = bucket[1:] != bucket[:-1]
+    at = np.flatnonzero(head)
+    size = np.diff(np.append(at, len(ids)))
+    return bucket, ids, np.repeat(ids[at], size), np.repeat(size, size)
 
 
 def first_leaders(docs: DataFrame, groups: int) -> DataFrame:
@@ -120,46 +159,46 @@ def first_leaders(docs: DataFrame, groups: int) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for part in pieces(batch, "text", 3_000_000):
+            own, keys = [], []
+            for part in pieces(batch, "text", SLICE):
                 data, start, end, _, _ = lines(part.column(0))
                 found, one = np.unique(line_ids(data, start, end), return_index=True)
                 one = np.sort(one[found != 0])
-                h, line = char_shingles(data, start[one], end[one])
-                ids.append(line_ids(data, start[one], end[one]))
-                keys.append(band_keys(signatures(h, line, len(one), BANDS * DEPTH)))
-            if not ids:
+                has, low = low_values(data, start[one], end[one])
+                one = one[has]
+                own.append(line_ids(data, start[one], end[one]))
+                keys.append(band_keys(densified(low)))
+            if not own:
                 continue
-            own, band = np.concatenate(ids), np.concatenate(keys)
-            rows, leader = elect(band.reshape(-1), np.repeat(own, BANDS))
-            head = leader == np.arange(len(leader))
-            lead, follow = rows[:, head], np.stack([rows[0][~head], rows[1][~head], rows[1][leader[~head]]])
-            # groups by the bucket; a blob of leaders and one of followers for each
-            out = []
-            for x in (lead, follow):
-                g = (x[0] >> U64(40)).astype(np.int64) % groups
+            ids, first = np.unique(np.concatenate(own), return_index=True)
+            bucket, ids, leader, size = by_bucket(np.concatenate(keys)[first].reshape(-1), np.repeat(ids, BANDS))
+            sent, crowd = (size <= LOCAL) | (ids == leader), (size > LOCAL) & (ids != leader)
+            # members are grouped by the bucket; pairs made here need no company and are dealt out by the id
+            blobs = []
+            for rows, by in ((np.stack([bucket[sent], ids[sent]]), bucket[sent]), (np.stack([bucket[crowd], ids[crowd], leader[crowd]]), mix(ids[crowd]))):
+                g = (by >> U64(32)).astype(np.int64) % groups
                 order = np.argsort(g, kind="stable")
-                out.append((x[:, order], np.searchsorted(g[order], np.arange(groups + 1))))
-            blobs = [[x[:, c[i] : c[i + 1]].tobytes() for i in range(groups)] for x, c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], ["g", "leaders", "followers"])
+                rows, edge = rows[:, order], np.searchsorted(g[order], np.arange(groups + 1))
+                blobs.append([rows[:, edge[i] : edge[i + 1]].tobytes() if edge[i] < edge[i + 1] else b"" for i in range(groups)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], ["g", "members", "crowd"])
 
     def across(table: pa.Table) -> pa.Table:
-        lead = [np.frombuffer(x, U64).reshape(2, -1) for x in table["leaders"].to_pylist()]
-        follow = [np.frombuffer(x, U64).reshape(3, -1) for x in table["followers"].to_pylist()]
-        rows, leader = elect(*np.concatenate(lead, axis=1))
-        behind = leader != np.arange(len(leader))
-        out = np.concatenate([*follow, np.stack([rows[0][behind], rows[1][behind], rows[1][leader[behind]]])], axis=1)
+        members, crowd = (np.concatenate([np.frombuffer(x, U64).reshape(n, -1) for x in table[c].to_pylist()], axis=1) for n, c in ((2, "members"), (3, "crowd")))
+        bucket, ids, leader, _ = by_bucket(*members)
+        follows = ids != leader
+        out = np.concatenate([crowd, np.stack([bucket[follows], ids[follows], leader[follows]])], axis=1)
         return pa.table([as_long(np.ascontiguousarray(x)) for x in out], names=["bucket", "id", "leader"])
 
-    sent = docs.select("text").mapInArrow(local, "g int, leaders binary, followers binary")
-    return sent.groupBy("g").applyInArrow(across, "bucket long, id long, leader long").where("id <> leader")
+    sent = docs.select("text").mapInArrow(local, "g int, members binary, crowd binary").where("length(members) + length(crowd) > 0")
+    return sent.groupBy("g").applyInArrow(across, "bucket long, id long, leader long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the lines in ids (one column id). A bitmap of 2^MARK_BITS bits, whatever their number, keeps other lines from being sent."""
-    marks = ids.selectExpr(f"pmod(id, {1 << MARK_BITS}) as p").selectExpr("cast(p div 64 as int) as w", "shiftleft(1L, cast(p % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    bitmap = np.zeros((1 << MARK_BITS) // 64, U64)
-    for part in marks.toLocalIterator(prefetchPartitions=True):  # 2^MARK_BITS / 64 rows at most
+    """(id, line) of the lines in ids (one column id, distinct). A bitmap of some 16 bits an id, 2^MOST_BITS at most, keeps most other lines from being sent."""
+    bits = min(MOST_BITS, max(16, ids.count().bit_length() + 4))
+    marks = ids.selectExpr(f"pmod(shiftrightunsigned(id, 8), {1 << bits}) as p").selectExpr("cast(p div 64 as int) as w", "shiftleft(1L, cast(p % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros((1 << bits) // 64, U64)
+    for part in marks.toLocalIterator(prefetchPartitions=True):  # 2^bits / 64 rows at most
         bitmap[part["w"]] = U64(part["b"] & 0xFFFFFFFFFFFFFFFF)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -168,24 +207,35 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 data, start, end, _, _ = lines(part.column(0))
                 own, one = np.unique(line_ids(data, start, end), return_index=True)
-                place = own & U64((1 << MARK_BITS) - 1)
+                place = own >> U64(8) & U64((1 << bits) - 1)
                 hit = (own != 0) & ((sent.value[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([as_long(own[hit]), pa.array([raw[start[i] : end[i]].decode() for i in one[hit]], pa.string())], ["id", "line"])
 
-    return docs.select("text").mapInArrow(run, "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    return docs.select("text").mapInArrow(run, "id long, line string").join(ids, "id").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def shingle_keys(column: pa.Array) -> np.ndarray:
+    """The distinct shingles of a column's lines, each with its line's number above it, in order; a line of fewer characters has none."""
+    data, off = text_buffers(column)
+    chars, a, b = characters(data, off[:-1], off[1:])
+    count = np.maximum(b - a - SHINGLE + 1, 0)
+    line = np.repeat(np.arange(len(a)), count)
+    at = np.arange(len(line)) + np.repeat(a - (np.cumsum(count) - count), count)
+    key = line.astype(U64) << U64(44) | mix(rolled(chars, U64))[at] >> U64(20)
+    key.sort()
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
 
 
 def line_jaccard(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of the lines of two columns, row by row."""
-    keys, sizes = [], []
-    for c in (x, y):
-        data, off = text_buffers(c)
-        h, line = char_shingles(data, off[:-1], off[1:])
-        keys.append(np.unique(line.astype(U64) << U64(44) | h >> U64(20)))
-        sizes.append(np.bincount((keys[-1] >> U64(44)).astype(np.int64), minlength=len(x)))
-    both = np.bincount((np.intersect1d(*keys, assume_unique=True) >> U64(44)).astype(np.int64), minlength=len(x))
-    return both / np.maximum(sizes[0] + sizes[1] - both, 1)
+    """Jaccard similarity of the shingle sets of the lines of two columns, row by row; lines without shingles are alike if equal."""
+    keys = [shingle_keys(c) for c in (x, y)]
+    count = lambda k: np.bincount((k >> U64(44)).astype(np.int64), minlength=len(x))
+    every = np.sort(np.concatenate(keys), kind="stable")  # two runs in order
+    both = count(every[:-1][every[1:] == every[:-1]])
+    union = count(keys[0]) + count(keys[1]) - both
+    equal = np.array([a == b for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], float) if (union == 0).any() else 0.0
+    return np.where(union > 0, both / np.maximum(union, 1), equal)
 
 
 def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,6 +246,7 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
     A null text is one blank line. A line shorter than the shingle is only like an equal one. Null keys come first.
     Rows that repeat a key are one document: lines at one place of it are kept or removed together.
     """
+    prepare(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,32 +256,30 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), as_long(line_ids(data, start, end))], ["doc_id", "line_no", "id"])
 
     listed = store(base.mapInArrow(ids_of, "doc_id long, line_no int, id long"))
-    groups = max(1024, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1024, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     led = store(first_leaders(base, groups))
+    texts = store(texts_of(base, store(led.select(F.explode(F.array("id", "leader")).alias("id")).distinct())))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = store(texts_of(base, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         x = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
         both = x.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in pieces(batch, "x", 2_000_000):
+                for part in pieces(batch, "x", SLICE):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(line_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
         return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
 
-
     def rest(members: DataFrame) -> DataFrame:
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in pieces(batch, "line", 2_000_000):
+                for part in pieces(batch, "line", SLICE):
                     data, off = text_buffers(part.column(1))
-                    h, line = char_shingles(data, off[:-1], off[1:])
-                    short = own_bins(signatures(h, line, part.num_rows, BANDS * DEPTH))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "signature"])
+                    has, low = low_values(data, off[:-1], off[1:])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), pa.array([x.tobytes() for x in own_bins(low)], pa.binary())], ["id", "signature"])
 
-        own = store(texts_of(base, members.select("id").distinct()).mapInArrow(sign, "id long, signature binary"))
+        own = store(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(sign, "id long, signature binary"))
         return block_pairs(members, own, LEAST_AGREEMENT, empty=0)
 
     _, root = verified_links(None, verify, similarity, rest, led)

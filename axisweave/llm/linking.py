@@ -3,8 +3,8 @@
 A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
 take in stay in the bucket for the next leader. After LEADERS rounds a bucket whose members are all of one component is done. In the
 others the signatures of all members of different components are compared in blocks, without making rows of pairs, those that leaders
-took in with the rest. Of the agreeing pairs spanning forests of best agreement are verified first, then what remains between
-components that are still separate, until no such pair is left.
+took in with the rest. In blocks of up to SMALL members all agreeing pairs are verified at once; in larger ones spanning forests of best
+agreement first, then what remains between components that are still separate, until no such pair is left.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from axisweave.llm.common import as_long, store
@@ -23,7 +23,9 @@ from axisweave.llm.common import as_long, store
 #: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared, forests taken of each in a
 #: turn, and turns with forests, after which all remaining pairs are taken.
 LEADERS, BLOCK, FORESTS, TURNS = 2, 1000, 3, 2
-#: Blocks of up to so many members are compared many at a time.
+#: Links that one task contracts.
+CONTRACT = 500_000
+#: Blocks of up to so many members are compared many at a time, and all their agreeing pairs are verified at once.
 SMALL = 64
 
 
@@ -163,11 +165,14 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float, empty:
                 if len(tried_block):
                     new = fresh(i, j, ids, block, tried_rows, tried_block)
                     i, j, share = i[new], j[new], share[new]
+                # of small blocks all pairs are taken, of others spanning forests
                 more = np.zeros(len(i), bool)
-                cuts, took = np.flatnonzero(np.diff(block[i])) + 1, []
-                for part in np.split(np.arange(len(i)), cuts):
+                many = np.bincount(block, minlength=int(block[-1]) + 1)[block[i]] > SMALL
+                took = [np.flatnonzero(~many | everything)]
+                large = np.flatnonzero(many & (not everything))
+                for part in np.split(large, np.flatnonzero(np.diff(block[i[large]])) + 1) if len(large) else ():
                     nodes, node = np.unique(np.concatenate([root[i[part]], root[j[part]]]), return_inverse=True)
-                    if not everything and len(part) > FORESTS * len(nodes):
+                    if len(part) > FORESTS * len(nodes):
                         more[part] = True
                         part = part[forests(node[: len(part)], node[len(part) :], share[part], len(nodes))]
                     took.append(part)
@@ -193,43 +198,78 @@ def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], Data
     that hold several components after the leaders and returns a function that gives the pairs to verify (see block_pairs()). It is asked
     again, with the components so far, until no block has more of them.
     """
-    members, links, done = buckets, [], []
+    links: list[DataFrame] = []
+    done: list[DataFrame] = []  # the pairs that have been verified
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     for turn in range(LEADERS):
+        if turn:
+            good = union(links).select("a", "b")
+            buckets = ordered(led).join(good, ["a", "b"], "left_anti").select("bucket", "id").distinct()
         if turn or led is None:
-            led = store(leader_pairs(members))
+            led = store(leader_pairs(buckets))
         if not turn:
             every = led.select("bucket", "id").union(led.select("bucket", F.col("leader").alias("id"))).distinct()
         pairs = ordered(led).select("a", "b").distinct()
-        done.append(store(pairs.join(union(done), ["a", "b"], "left_anti") if done else pairs))
-        links.append(store(verify(done[-1])))
-        good = union(links).select("a", "b")
-        members = store(ordered(led).join(good, ["a", "b"], "left_anti").select("bucket", "id").distinct())
+        links.append(store(verify(pairs.join(union(done), ["a", "b"], "left_anti") if done else pairs)))
+        done.append(pairs)
+    root = components(union(links))
     # two members of a bucket have met as leader and member; buckets of the same members count once
-    named = every.join(components(union(links)), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = every.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"), F.min("root").alias("_low"), F.max("root").alias("_high"))
     mixed = mixed.where("_low <> _high and n > 2").groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket")
     propose = rest(store(every.join(mixed, "bucket", "left_semi")))
     given: list[DataFrame] = []
     while True:
-        given.append(store(propose(components(union(links)), union(given) if given else None, len(given) >= TURNS)))
-        done.append(store(given[-1].select("a", "b").distinct().join(union(done), ["a", "b"], "left_anti")))
-        links.append(store(verify(done[-1])))
+        given.append(store(propose(root, union(given) if given else None, len(given) >= TURNS)))
+        fresh = given[-1].select("a", "b").distinct()
+        links.append(store(verify(fresh.join(union(done), ["a", "b"], "left_anti"))))
+        done.append(fresh)
+        if not links[-1].isEmpty():
+            root = components(links[-1], known=root)
         if given[-1].where("more").isEmpty():
             break
-    found = union(links).where(F.col("like") >= similarity)
-    return found, components(found)
+    return union(links).where(F.col("like") >= similarity), root
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) of the ids that some links join, but for the roots themselves; root is the smallest id of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        u, v = root[x], root[y]
+        apart = u != v
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[tied], nodes[root[tied]]
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """Union-find by alternating large and small stars (Kiveris et al., 2014): (id, root), root the smallest id of its component.
 
-    Each round is two aggregations; the edges are written out between rounds. Only ids that have a link are returned.
+    Links are contracted within tasks of about CONTRACT links first, which leaves few rounds. Each round is two aggregations; the edges are written out
+    between rounds, and a checksum taken on the way tells when they stay the same. Only ids that have a link are returned. ``known``: (id, root)
+    of the links before, to go on from.
     """
-    mark = lambda e: e.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = mark(edges)
-    while True:
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("id").alias("u"), F.col("root").alias("v")))
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for i, batch in enumerate(batches):
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            if i % 64 == 63:
+                held = [np.stack(contracted(*np.concatenate(held, axis=1)))]
+        if held:
+            yield pa.RecordBatch.from_arrays([as_long(x) for x in contracted(*np.concatenate(held, axis=1))], ["u", "v"])
+
+    tasks = edges.count() // CONTRACT + 1
+    edges, seen = _marked(edges.coalesce(tasks).mapInArrow(contract, "u long, v long"))
+    while tasks > 1:
         # large star: each node's larger neighbours point at its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -237,9 +277,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: each node's smaller neighbours and itself point at the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = store(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        before, seen = seen, mark(new)
+        before, (edges, seen) = seen, _marked(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         if seen == before:
             break
-        edges = new
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """store() with the number of rows and an order-free checksum of them."""
+    seen = Observation()
+    return store(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))), seen.get
