@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import GOLDEN, U64, among, as_long, mix, pieces, rolling, store, word_hashes
+from axisweave.llm.common import GOLDEN, U64, among, as_long, mix, pieces, prepare, rolling, store, text_buffers, word_hashes
 from axisweave.llm.linking import block_pairs, verified_links
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -89,7 +90,7 @@ def band_keys(signature: np.ndarray, bands: int, depth: int) -> np.ndarray:
 
 
 def text_id(column: pa.Array) -> np.ndarray:
-    """A 64-bit id of each text's word sequence; texts without words get 0."""
+    """A 64-bit id of each text's word sequence, odd; of a text without words an even one of its own bytes (null: as the empty text)."""
     h, row = word_hashes(column)
     n = np.bincount(row, minlength=len(column))
     out = np.zeros(len(column), U64)
@@ -100,20 +101,13 @@ def text_id(column: pa.Array) -> np.ndarray:
             parts = mix(h + within * GOLDEN)
             has = np.flatnonzero(n)
             out[has] = mix(np.add.reduceat(parts, first[has]) + n[has].astype(U64)) | U64(1)
+    data, off = text_buffers(column)
+    raw = data.tobytes()
+    for r in np.flatnonzero(n == 0).tolist():
+        out[r] = U64(xxhash.xxh3_64_intdigest(raw[off[r] : off[r + 1]]) & ~1)
     return out
 
 
-def same_words(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, same): ids of equal word sequences; texts without words (null, empty, signs only) by their own characters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), as_long(text_id(part.column(1)))], ["doc_id", "same"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, same long")
-
-
 def weighted_jaccard(x: pa.Array, y: pa.Array) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of two columns, row by row."""
     sides, total = [], np.zeros(len(x), np.int64)
@@ -131,9 +125,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     """(doc_id, class_id, n_links): documents of one class are linked by chains of pairs with weighted Jaccard >= similarity.
 
     class_id is the smallest doc_id of the class; n_links counts the document's verified links with other texts (copies are one
-    text: equal word sequences are one class and are represented once). Texts without words form one class of their own. A
+    text: equal word sequences are one class and are represented once). Texts without words (empty, signs only) are alike only if equal, null and empty ones among them. A
     row with a null key is left out; rows that repeat a key count as one document, under its smallest text id.
     """
+    prepare(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +145,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     one = signed.groupBy("doc_id").agg(F.min("same").alias("same"))
     # copies: the smallest id stands for all; counted before the shuffle
     stands = store(signed.groupBy("same").agg(F.min("doc_id").alias("id")))
-    kept = signed.join(stands, (signed["doc_id"] == stands["id"]) & (signed["same"] == stands["same"]), "left_semi").where("same <> 0").dropDuplicates(["doc_id"])
+    kept = signed.join(stands, (signed["doc_id"] == stands["id"]) & (signed["same"] == stands["same"]), "left_semi").where("same % 2 <> 0").dropDuplicates(["doc_id"])
     buckets = kept.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
     signatures = kept.select(F.col("doc_id").alias("id"), "signature")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        near = among(base, "doc_id", ids).join(ids, "doc_id", "left_semi")
-        texts = store(near.groupBy("doc_id").agg(F.min("text").alias("text")))
+        texts = store(among(base, "doc_id", ids).groupBy("doc_id").agg(F.min("text").alias("text")))
         x = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
         both = x.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
