@@ -8,8 +8,10 @@ fields an ARC record has no place for: record id, ISO date, record type, block a
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import pieces, shared_dir, store
+from axisweave.llm.common import pieces, prepare, shared_dir, store
 
 #: The header line's fields by ARC version.
 ARC_FIELDS = {
@@ -27,7 +29,10 @@ ARC_FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "X-Page-Id"
-CONVERTED = "page_id long, url string, ip string, date string, record_id string, http string, payload string, payload_bytes long, payload_digest string"
+CONVERTED = "page_id long, url string, ip string, date string, record_id string, http binary, payload binary, payload_bytes long, payload_digest string"
+KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+#: What stands between two records of a file: a gzip member of nothing.
+BETWEEN = gzip.compress(b"", mtime=0)
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, record_id string, digest_ok boolean"
 
 
@@ -35,6 +40,20 @@ class ArchiveError(ValueError):
     """An archive breaks its format."""
 
 
+def unzipped(raw: bytes) -> bytes:
+    """The content of all members of a gzip file, or the bytes of another file."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out = []
+    while raw:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(raw))
+        if not member.eof:
+            raise ArchiveError("a gzip member is cut")
+        raw = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -111,28 +130,27 @@ def convert(fields: dict[str, str], content: bytes) -> dict:
     head, sep, payload = content.partition(b"\r\n\r\n")
     if not content.startswith(b"HTTP/") or not sep:
         head, payload = b"", content
-    http = head.decode("utf-8", "replace")
+    http = head.decode("latin-1")  # a character for each byte
     page = next((x.split(":", 1)[1].strip() for x in http.split("\r\n") if x.lower().startswith(PAGE.lower() + ":")), "-")
-    page_id = None if page == "-" else int(page)
+    page_id = int(page) if re.fullmatch(r"-?\d{1,18}", page) else None
     d, digest = fields["Archive-date"].ljust(14, "0"), sha1_base32(payload)
     return {
         "page_id": page_id, "url": fields["URL"], "ip": fields["IP-address"], "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        "record_id": record_uuid(page_id, digest), "http": http, "payload": payload, "payload_bytes": len(payload), "payload_digest": digest,
+        "record_id": record_uuid(page_id, digest), "http": head, "payload": payload, "payload_bytes": len(payload), "payload_digest": digest,
     }
 
 
-def warc_record(r: dict, refers_to: int | None, revisit: bool) -> str:
-    """A record as text, without the two line ends that close it. A revisit keeps the HTTP header and leaves out the payload."""
-    head = f"{r['http']}\r\n\r\n" if r["http"] else ""
-    block = head if revisit else head + r["payload"].decode("utf-8")
-    raw = block.encode()
+def warc_record(r: dict, refers_to: int | None, revisit: bool) -> bytes:
+    """A record with the two line ends that close it. A revisit keeps the HTTP header and leaves out the payload."""
+    head = r["http"] + b"\r\n\r\n" if r["http"] else b""
+    block = head if revisit else head + r["payload"]
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response' if head else 'resource'}", f"WARC-Record-ID: {r['record_id']}", f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}",
-        f"Content-Type: {'application/http;msgtype=response' if head else 'text/html'}", f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"WARC-Block-Digest: sha1:{sha1_base32(raw)}", f"X-Payload-Length: {r['payload_bytes']}",
+        f"Content-Type: {'application/http;msgtype=response' if head else 'text/html'}", f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"X-Payload-Length: {r['payload_bytes']}",
     ]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_uuid(refers_to, r['payload_digest'])}"]
-    return "\r\n".join([*lines, f"Content-Length: {len(raw)}", "", block])
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -153,56 +171,95 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
 
 def _arc_records(part: pa.RecordBatch, version: int) -> Iterator[dict]:
     """Rows (page_id, url, html) through an ARC image and the converter."""
-    rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True)
+    rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
     image = arc_bytes(((i, u, h or b"") for i, u, h in rows), version)
     return (convert(*x) for x in parse_arc(io.BytesIO(image)))
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], KINDS[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def read_arc(spark, path: str) -> DataFrame:
+    """The records of ARC files (versions 1 and 2 or with fields of their own, gzipped or not) under path, converted: see CONVERTED.
+
+    page_id is what a header X-Page-Id of the content tells, else null. A file is read as a whole by one task. A broken file raises ArchiveError.
+    """
+    names = [x.split(" ")[0] for x in CONVERTED.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found, held = [], 0
+                for x in parse_arc(io.BytesIO(unzipped(content.as_py() or b""))):
+                    found.append(tuple(convert(*x)[n] for n in names))
+                    held += len(x[1])
+                    if held > 8_000_000:
+                        yield _batch(found, CONVERTED)
+                        found, held = [], 0
+                yield _batch(found, CONVERTED)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, CONVERTED)
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Converted records (see CONVERTED; refers_to and revisit may follow, else none revisits another) to WARC files under path, one for each partition,
+    each record a gzip member of its own.
+
+    Spark's text writer commits the files, so lost tasks leave none. It writes a string's bytes as they are; the line end is an empty member.
+    """
+    more = [F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in (("refers_to", "long"), ("revisit", "boolean"))]
+    rows = records.select(*[x.split(" ")[0] for x in CONVERTED.split(", ")], *more)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [gzip.compress(warc_record(r, r["refers_to"], bool(r["revisit"])), 4, mtime=0) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string())], ["value"])
+
+    rows.mapInArrow(members, "value string").write.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).text(path)
+
+
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0) -> None:
-    """Pages, by way of ARC records, to gzipped WARC files under path (one for each partition).
+    """Pages, by way of ARC records, to WARC files under path (see write_warc()). html is text (its UTF-8 bytes) or binary.
 
     Of records with equal payloads of at least min_revisit_bytes, that of the largest page id is the response and the others
     revisit it. Null html is an empty payload; a null url becomes about:blank; a null page id is below all others; rows that
     repeat the largest page id are responses all.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    prepare(pages.sparkSession)
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("binary").alias("html"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
             for part in pieces(batch, "html"):
                 found = [(r["page_id"], r["payload_bytes"], base64.b32decode(r["payload_digest"]).hex()) for r in _arc_records(part, 1 + k % 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["page_id", "size", "digest"])
+                yield _batch(found, "page_id long, size long, digest string")
 
     listed = store(rows.mapInArrow(digests, "page_id long, size long, digest string")).where(F.col("size") >= min_revisit_bytes)
     first = listed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     revisits = listed.join(first, "digest").where("page_id < refers_to or (page_id is null and refers_to is not null)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to", F.lit(True).alias("revisit")).distinct()
-    same = rows["page_id"].eqNullSafe(revisits["_id"]) & (F.sha1(F.coalesce(rows["html"], F.lit(""))) == revisits["_digest"])
+    same = rows["page_id"].eqNullSafe(revisits["_id"]) & (F.sha1(F.coalesce(rows["html"], F.encode(F.lit(""), "UTF-8"))) == revisits["_digest"])
     marked = rows.join(revisits, same, "left").select(rows["*"], "refers_to", "revisit")
+    names = [x.split(" ")[0] for x in CONVERTED.split(", ")]
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
             for part in pieces(batch, "html"):
                 marks = zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
-                texts = [warc_record(r, ref, bool(again)) for r, (ref, again) in zip(_arc_records(part, 1 + k % 2), marks, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+                yield _batch([(*[r[n] for n in names], *m) for r, m in zip(_arc_records(part, 1 + k % 2), marks, strict=True)], f"{CONVERTED}, refers_to long, revisit boolean")
 
-    # a text file whose "line" is a record and whose line end is the two CRLF that close a record is a WARC file
-    marked.mapInArrow(records, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    write_warc(marked.mapInArrow(converted, f"{CONVERTED}, refers_to long, revisit boolean"), path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """The records of WARC files (gzipped or not) under path; payload figures are of the full payload, for revisits as declared."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in READ.split(", ")]
-        kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split(" ")[1]] for x in READ.split(", ")]
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_buffer().to_pybytes() if content.is_valid else b""
-                if raw[:2] == b"\x1f\x8b":
-                    raw = zlib.decompress(raw, 47)
-                out: list[list] = [[] for _ in names]
-                for fields, block in parse_warc(io.BytesIO(raw)):
+                out: list[tuple] = []
+                for fields, block in parse_warc(io.BytesIO(unzipped(content.as_py() or b""))):
                     if fields["warc-type"] not in ("response", "resource", "revisit"):
                         continue
                     head, sep, payload = block.partition(b"\r\n\r\n")
@@ -211,13 +268,11 @@ def read_archives(spark, path: str) -> DataFrame:
                     again = fields["warc-type"] == "revisit"
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     own = digest if again else sha1_base32(payload)
-                    row = (
+                    out.append((
                         uuid_page(fields["warc-record-id"]), int(fields["x-payload-length"]) if again else len(payload), own, fields["warc-type"],
                         uuid_page(fields["warc-refers-to"]) if again else None, fields.get("warc-target-uri"), fields.get("warc-date"), fields["warc-record-id"], own == digest,
-                    )
-                    for x, v in zip(out, row, strict=True):
-                        x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+                    ))
+                yield _batch(out, READ)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, READ)
 
