@@ -8,13 +8,14 @@ comes in blocks of bounded size. Words follow the rule in ``common``; suffixes e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import U64, pieces, word_hashes
+from axisweave.llm.common import U64, pieces, prepare, store, word_hashes
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, longest_words int, longest_item string, longest_doc_word int, longest_item_word int"
 
@@ -151,12 +152,21 @@ def scan(batch: pa.RecordBatch, blocks: list, window: int) -> pa.RecordBatch:
             key = (-length, name, int(p[b] - first[d[b]]), int(o[b]))
             if best[d[b]][1] is None or key < (-best[d[b]][0], *best[d[b]][1:]):
                 best[d[b]] = (length, *key[1:])
-    n_hit = np.bincount(row[np.cumsum(cover[:-1]) > 0], minlength=docs) if len(h) else n_words
+    hit = np.cumsum(cover[:-1]) > 0
+    n_hit = np.bincount(row[hit], minlength=docs) if len(h) else n_words
+    # runs of words that are hit, by document
+    edge = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, np.int64)
+    stop = np.append(edge[1:], len(h))
+    edge, stop = (x[hit[edge]] for x in (edge, stop)) if len(h) else (edge, edge)
+    owner = row[edge]
+    low, high = (pa.array((x - first[owner]).astype(np.int32)) for x in (edge, stop))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=docs))]).astype(np.int32)
+    ranges = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([low, high], ["low", "high"]))
     columns = [
         batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-        pa.array([b[0] for b in best], pa.int32()), pa.array([b[1] for b in best], pa.string()), pa.array([b[2] for b in best], pa.int32()), pa.array([b[3] for b in best], pa.int32()),
+        pa.array([b[0] for b in best], pa.int32()), pa.array([b[1] for b in best], pa.string()), pa.array([b[2] for b in best], pa.int32()), pa.array([b[3] for b in best], pa.int32()), ranges,
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "longest_words", "longest_item", "longest_doc_word", "longest_item_word"])
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "longest_words", "longest_item", "longest_doc_word", "longest_item_word", "ranges"])
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 8, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
@@ -166,28 +176,69 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 8, key: str = "doc_
     sorted as strings; longest_* tell the longest verbatim match and where it lies (ties: smallest item, then place).
     Null and empty texts have no words and no matches; a null item id reads as ''; items that share an id count once;
     repeated documents are reported each. An empty table of items yields no matches; one of documents no rows.
+    Only one block of items, of block_bytes of text at most (an item at least), is held and broadcast at a time; the documents are read once for each.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(items, item_id, item_text, window, block_bytes)]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                yield scan(part, [b.value for b in blocks], window)
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, SCHEMA)
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _by_blocks(rows, test_blocks(items, item_id, item_text, window, block_bytes), window).drop("ranges", "_row")
+
+
+def _by_blocks(rows: DataFrame, blocks: Iterator[tuple], window: int) -> DataFrame:
+    """rows (doc_id, text and, with several blocks, _row) to SCHEMA, ranges and _row, over all blocks."""
+    spark = rows.sparkSession
+
+    def searched(docs: DataFrame, block: tuple | None):
+        sent = spark.sparkContext.broadcast([block] if block else [])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    found = scan(part, sent.value, window)
+                    yield pa.RecordBatch.from_arrays([*found.columns, part.column(2)], [*found.schema.names, "_row"])
+
+        return sent, docs.select("doc_id", "text", "_row").mapInArrow(search, f"{SCHEMA}, ranges array<struct<low:int,high:int>>, _row long")
+
+    one, two = next(blocks, None), next(blocks, None)
+    if two is None:
+        return searched(rows if "_row" in rows.columns else rows.withColumn("_row", F.lit(0).cast("long")), one)[1]
+    rows = rows if "_row" in rows.columns else store(rows.withColumn("_row", F.monotonically_increasing_id()))
+    parts = []
+    for block in chain([one, two], blocks):
+        sent, found = searched(rows, block)
+        parts.append(store(found))
+        sent.destroy()
+    union = parts[0]
+    for more in parts[1:]:
+        union = union.unionByName(more)
+    best = F.struct((-F.col("longest_words")).alias("l"), "longest_item", "longest_doc_word", "longest_item_word")
+    merged = union.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min(F.when(F.col("longest_words") > 0, best)).alias("b"),
+    )
+    step = lambda s, r: F.struct(F.greatest(s["end"], r["high"]).alias("end"), (s["n"] + F.greatest(F.lit(0), r["high"] - F.greatest(r["low"], s["end"]))).alias("n"))
+    n_hit = F.aggregate("ranges", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"].cast("long")
+    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", F.coalesce(-F.col("b.l"), F.lit(0)).cast("int").alias("longest_words"), "b.longest_item", "b.longest_doc_word", "b.longest_item_word", "ranges", "_row")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32_000_000) -> DataFrame:
-    """docs without the rows that hold windows of at least min_items items. Rows are dropped where they are read; null texts stay."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in test_blocks(items, item_id, item_text, window, block_bytes)]
+    """docs without the rows that hold windows of at least min_items items. With one block of items rows are dropped where they are read; null texts stay."""
+    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    blocks = test_blocks(items, item_id, item_text, window, block_bytes)
+    one, two = next(blocks, None), next(blocks, None)
+    if two is not None:
+        numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()))
+        rows = numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row")
+        gone = _by_blocks(rows, chain([one, two], blocks), window).where(F.size("items") >= min_items).select("_row")
+        return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    sent = spark.sparkContext.broadcast([one] if one else [])
     at = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 pair = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(at)], ["doc_id", "text"])
-                found = scan(pair, [b.value for b in blocks], window).column(3)
+                found = scan(pair, sent.value, window).column(3)
                 yield part.filter(pa.array([len(x) < min_items for x in found.to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisweave.llm.common import store
+
 #: Fixed value: the multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
 LOW, HIGH = (1 << 21) - 1, (1 << 22) - 1
@@ -67,7 +69,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", tex
     """
     bytes_ = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     rows = docs.select(F.col(key).alias("_key"), (bytes_ + F.lit(1)).alias("size"), F.crc32(F.coalesce(F.encode(text, "UTF-8"), F.encode(F.lit(""), "UTF-8"))).alias("text_crc32"))
-    same = rows.groupBy("_key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    same = store(rows.groupBy("_key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n")))  # read twice below: texts are hashed once
     same = same.withColumn("shard", jump_hash(F.col("_key"), n_shards)).withColumn("grown_shard", jump_hash(F.col("_key"), n_shards + 1))
     same = same.withColumn("_block", F.pmod(F.xxhash64("_key", "text_crc32"), F.lit(slot_blocks)).cast("int"))
     counts = same.groupBy("shard", "_block").agg(F.sum("_n").alias("_n")).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("_block", "_n"))).alias("_counts"))
