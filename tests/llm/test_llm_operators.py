@@ -84,9 +84,23 @@ def test_fingerprints(spark, corpus):
         assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
 
 
+def test_fingerprints_compare_by_themselves(spark, corpus):
+    """The likeness that the query gives follows from the two strings."""
+    long_ = "\n".join(f"line {i} of a long text" for i in range(700))
+    rows = [(i, t) for i, t in corpus] + [(200, long_), (201, long_ + "\nmore")] + [(1 << 50, "far away"), (None, "no id"), (None, "none either")]
+    got = fingerprints.compare_versions(make(spark, rows)).cache()
+    assert got.count() == len(rows)
+    pairs = got.where("doc_id is not null and doc_id <> 4").select("doc_id", "fingerprint", "edited_fingerprint", "near_edited")
+    found = fingerprints.compare_fingerprints(pairs, ["doc_id"], "fingerprint", "edited_fingerprint").join(pairs, "doc_id")
+    assert found.count() == pairs.count() and found.where("abs(likeness - near_edited) > 1e-12").isEmpty()
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[200]["near_next"] == pytest.approx(700 / 701) and by[None]["n_chars"] > 0
+    assert fingerprints.compare_versions(make(spark, [])).count() == 0
+
+
 def test_peeling_recovers_the_difference(spark):
     a, b = list(range(1, 40)), list(range(20, 50))
-    df = spark.createDataFrame([(1, a, b, 300), (2, a, b, 6)], "pair long, a array<long>, b array<long>, size long")
+    df = spark.createDataFrame([(1, a, b, 100), (2, a, b, 2)], "pair long, a array<long>, b array<long>, part long")
     got = {r["pair"]: r for r in fingerprints.peel(df, ["pair"]).collect()}
     assert sorted(got[1]["only_a"]) == list(range(1, 20)) and sorted(got[1]["only_b"]) == list(range(40, 50)) and got[1]["left"] == 0
     assert got[2]["left"] > 0
@@ -112,6 +126,10 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5] and kept.columns == docs.columns
     assert decontamination.matches(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.matches(docs.limit(0), items, block_bytes=10).count() == 0
+    # items in several blocks, one at a time: the same rows
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(decontamination.matches(docs, items, block_bytes=10)) == rows(decontamination.matches(docs, items))
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, items, block_bytes=10).collect()) == [3, 5]
 
 
 def test_near_duplicates(spark, corpus):
@@ -127,7 +145,8 @@ def test_near_duplicates(spark, corpus):
             for j in shingles:
                 same = sum((shingles[i] & shingles[j]).values())
                 total = sum((shingles[i] | shingles[j]).values())
-                if (same / total if total else 1.0) >= 0.8:
+                raw = dict(corpus)
+                if (same / total if total else float((raw[i] or "") == (raw[j] or ""))) >= 0.8:
                     root[i] = root[j] = min(root[i], root[j])
     assert got == root
     kept = neardup.keep_one(make(spark, corpus))
