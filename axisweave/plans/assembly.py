@@ -36,22 +36,23 @@ def coarsened(reads: DataFrame, regions: DataFrame, config: Config) -> DataFrame
 def assemble(alignments: DataFrame, config: Config | None = None, known: DataFrame | None = None) -> Assembly:
     """alignments: chr, strand, start, cigar (strand of the library); known: regions (chr, start, stop) whose gaps are bridged.
 
-    exons: spliced exons with terminal ones cut back from antisense ones, and what the change points leave of them.
+    exons: spliced exons with terminal ones cut back from antisense ones, and what the change points leave of them. Each step is written
+    to the shared folder, as later ones read it several times.
     """
     config = config or Config()
     aligned = splice.aligned(alignments)
     expressed = iv.expressed(aligned, config.threshold)
-    segments = iv.coalesce_intervals(expressed, config.merge_radius) if known is None else exons.bridge_known(expressed, known, config.merge_radius)
-    judged = splice.judge_junctions(splice.junctions(alignments), splice.site_counts(alignments), config.alpha)
+    segments = graph.store(iv.coalesce_intervals(expressed, config.merge_radius) if known is None else exons.bridge_known(graph.store(expressed), known, config.merge_radius))
+    judged = graph.store(splice.judge_junctions(splice.junctions(alignments), graph.store(splice.site_counts(alignments)), config.alpha))
     accepted = judged.where("accepted").select(*iv.KEYS, "start", "stop")
-    found = exons.trim_antisense(exons.spliced_exons(segments, accepted))
-    windows = exons.eligible_segments(found, config.bin_width, config.min_terminal, config.internal)
+    found = graph.store(exons.trim_antisense(graph.store(exons.spliced_exons(segments, accepted))))
+    windows = graph.store(exons.eligible_segments(found, config.bin_width, config.min_terminal, config.internal))
     bins = coarsened(aligned, windows.select(*iv.KEYS, "start", "stop", "mode").distinct(), config).withColumn("sample", F.lit("s"))
-    points = segmentation.change_points(bins, config.bin_width, segmentation.Prior(min_fold=config.min_fold))
+    points = graph.store(segmentation.change_points(bins, config.bin_width, segmentation.Prior(min_fold=config.min_fold)))
     points = points.withColumn("before", F.col("sample_levels")[0][0]).withColumn("after", F.col("sample_levels")[1][0])
-    points = exons.filter_change_points(points.drop("start", "stop"), found, accepted, config.bin_width)
-    cut = exons.change_point_exons(points, found)
-    return Assembly(segments, judged, found.select(*iv.KEYS, "start", "stop", "type").unionByName(cut).distinct(), exons.unspliced_remainder(segments, found), points)
+    points = graph.store(exons.filter_change_points(points.drop("start", "stop"), found, accepted, config.bin_width))
+    every = graph.store(found.select(*iv.KEYS, "start", "stop", "type").unionByName(exons.change_point_exons(points, found)).distinct())
+    return Assembly(segments, judged, every, exons.unspliced_remainder(segments, found), points)
 
 
 def loci(found: DataFrame, accepted: DataFrame) -> DataFrame:

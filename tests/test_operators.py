@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from axisweave.operators import coverage, exons, graph, segmentation, splice
 from axisweave.operators import intervals as iv
@@ -147,3 +148,74 @@ def test_confidence_is_the_share_of_all_segmentations():
             for c in cut:
                 with_cut[c] = np.logaddexp(with_cut[c], v)
     assert np.allclose(segmentation.cut_confidence([y], p), with_cut - total, atol=1e-6)
+
+
+def test_nulls_are_the_same(spark):
+    """Rows with a null attribute: one of the left join is paired or unmatched, not both, and one that is split is cut."""
+    a = spark.createDataFrame([("c", "+", 1, 9, None), ("c", "+", 20, 29, None), ("c", "+", 20, 29, None)], "chr string, strand string, start int, stop int, name string")
+    b = rows(spark, [(5, 6)])
+    got = iv.overlap_join(a, b, how="left").collect()
+    assert sorted((r["start"], r["start_b"] or 0) for r in got) == [(1, 5), (20, 0), (20, 0)]
+    at = spark.createDataFrame([("c", "+", 5), ("c", "+", 25)], "chr string, strand string, pos int")
+    assert spans(iv.split_at(a, at)) == [(1, 4), (5, 9), (20, 24), (20, 24), (25, 29), (25, 29)]
+
+
+def test_islands_over_many_tiles(spark):
+    """Long intervals that swallow runs of later tiles, and runs that go on from tile to tile."""
+    rnd = random.Random(7)
+    for _ in range(4):
+        x = [(s := rnd.randint(1, 400), s + rnd.choice([0, 1, 3, 60, 150])) for _ in range(25)]
+        for radius in (0, 4):
+            want = []
+            for s, e in sorted(x):
+                if want and s - want[-1][1] - 1 <= radius:
+                    want[-1] = (want[-1][0], max(want[-1][1], e))
+                else:
+                    want.append((s, e))
+            assert spans(iv.coalesce_intervals(rows(spark, x), radius, width=10)) == want
+
+
+def test_absent_bins_keep_their_place(spark):
+    """A step with a gap of bins without rows before it: the cut stays where it is."""
+    bins = [("c", "+", 1, 2000, "s", k, 40 if k < 50 else 5) for k in range(100) if not 20 <= k < 30]
+    df = spark.createDataFrame(bins, "chr string, strand string, start int, stop int, sample string, bin int, y int")
+    cuts = [r["cut"] for r in segmentation.change_points(df, 20, mode="fold").collect()]
+    assert 49 in cuts
+
+
+def test_tail_of_the_binomial(spark):
+    from math import comb
+
+    pairs = [(i, e) for i in (0, 1, 5, 40, 300) for e in (1, 2, 5, 39, 41, 280, 700)] + [(5, 0), (10**6, 10**6)]
+    got = spark.createDataFrame(pairs, "i long, e long").withColumn("p", splice.binomial_tail(F.col("i"), F.col("e"))).collect()
+    for r in got:
+        if r["i"] + r["e"] < 10**4:
+            want = sum(comb(r["i"] + r["e"], k) for k in range(r["i"] + 1)) / 2 ** (r["i"] + r["e"])
+            assert r["p"] == pytest.approx(want, rel=1e-8, abs=1e-14)
+        else:
+            assert r["p"] == pytest.approx(0.5, abs=1e-3)
+
+
+def test_assembly(spark):
+    """Two exons and a junction, an exon with a step in its coverage, and a sample whose step is lower."""
+    from axisweave.plans import assembly
+    from axisweave.sources.regions import Config
+
+    reads = [("c", "+", 181, "20M100N20M")] * 30 + [("c", "+", s, "20M") for s in range(101, 181, 2) for _ in range(4)]
+    reads += [("c", "+", s, "20M") for s in range(301, 1281, 2) for _ in range(6 if s < 800 else 1)]
+    df = spark.createDataFrame(reads, "chr string, strand string, start int, cigar string")
+    config = Config(merge_radius=10, min_terminal=0)
+    got = assembly.assemble(df, config)
+    assert [(r["start"], r["stop"]) for r in got.junctions.where("accepted").collect()] == [(201, 300)]
+    found = {(r["type"], r["start"], r["stop"]) for r in got.exons.collect()}
+    assert ("5p_exon", 101, 200) in found and any(t == "3p_exon" and s == 301 and e > 1200 for t, s, e in found)
+    points = [r["pos"] for r in got.change_points.collect()]
+    assert any(abs(p - 810) <= 40 for p in points) and any(t == "3p_exon" and s == 301 and abs(e - 810) <= 40 for t, s, e in found)
+    located = assembly.loci(got.exons, got.junctions.where("accepted"))
+    paths = assembly.isoforms(located, got.junctions.where("accepted"), config)
+    features = assembly.isoform_features(paths)
+    assert paths.count() >= 2 and features.count() == 2 * paths.count() and assembly.skipped(located, got.junctions.where("accepted"), config).count() == 0
+    aligned = splice.aligned(df)
+    joint = assembly.compare((got.exons.where("stop > 1200 or type = '5p_exon'"), aligned), (got.exons.where("stop > 1200 or type = '5p_exon'"), aligned), config)
+    table = assembly.compare_table(joint)
+    assert table.columns == assembly.COMPARE_COLUMNS and table.count() == joint.count() > 0
