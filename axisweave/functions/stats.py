@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 def moments(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """Sum, mean, population variance and deviation, sum of squares and standard error."""
     return rows.groupBy(*by).agg(
-        F.sum(x).alias("total"), F.round(F.avg(x), 9).alias("mean"), F.round(F.var_pop(x), 6).alias("var"), F.round(F.stddev_pop(x), 6).alias("stdev"),
-        F.round(F.sum(F.col(x) * F.col(x)), 3).alias("squares"), F.round(F.stddev_pop(x) / F.sqrt(F.count(x)), 6).alias("stderr"),
+        F.sum(x).alias("total"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.stddev_pop(x).alias("stdev"), F.sum(F.col(x) * F.col(x)).alias("squares"), (F.stddev_pop(x) / F.sqrt(F.count(x))).alias("stderr"),
     )
 
 
 def bivariate(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Population covariance, Pearson's r and its square."""
     r = F.corr(x, y)
-    return rows.groupBy(*by).agg(F.round(F.covar_pop(x, y), 4).alias("cov"), F.round(r, 9).alias("pearson"), F.round(r * r, 9).alias("r_squared"))
+    return rows.groupBy(*by).agg(F.covar_pop(x, y).alias("cov"), r.alias("pearson"), (r * r).alias("r_squared"))
 
 
 def average_rank(rows: DataFrame, by: list[str], x: str, name: str = "rank") -> DataFrame:
-    """Ranks from 0; equal values share the mean of theirs."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return rows.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(x)) - 1 + (ties - 1) / 2.0)
+    """Ranks from 0; equal values share the mean of theirs. Values are counted first, so that the window runs over a row for each value. Null keys and values come last and have no rank."""
+    counts = rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(counts.select(*by, x, (below + (F.col("_n") - 1) / 2.0).alias(name)), [*by, x], "left")
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Pearson's r of the ranks."""
     ranked = average_rank(average_rank(rows, by, x, "_x"), by, y, "_y")
-    return ranked.groupBy(*by).agg(F.round(F.corr("_x", "_y"), 9).alias("spearman"))
+    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("spearman"))
 
 
 def _shares(rows: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -37,7 +39,7 @@ def _shares(rows: DataFrame, by: list[str], x: str) -> DataFrame:
 
 def entropy(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """Entropy of x in nats."""
-    return _shares(rows, by, x).groupBy(*by).agg(F.round(-F.sum(F.col("_p") * F.log("_p")), 9).alias("entropy"))
+    return _shares(rows, by, x).groupBy(*by).agg((-F.sum(F.col("_p") * F.log("_p"))).alias("entropy"))
 
 
 def jensen_shannon(rows: DataFrame, of: str, x: str) -> DataFrame:
@@ -45,7 +47,7 @@ def jensen_shannon(rows: DataFrame, of: str, x: str) -> DataFrame:
     p = _shares(rows, [of], x)
     k = p.agg(F.countDistinct(of).alias("k"), F.sum(-F.col("_p") * F.log("_p")).alias("own"))
     mixed = p.groupBy(x).agg(F.sum("_p").alias("s")).crossJoin(F.broadcast(k)).select((F.col("s") / F.col("k")).alias("m"), "k", "own")
-    return mixed.agg(F.sum(-F.col("m") * F.log("m")).alias("h"), F.first("own").alias("own"), F.first("k").alias("k")).select(F.round(F.col("h") - F.col("own") / F.col("k"), 9).alias("jsd"))
+    return mixed.agg(F.sum(-F.col("m") * F.log("m")).alias("h"), F.first("own").alias("own"), F.first("k").alias("k")).select((F.col("h") - F.col("own") / F.col("k")).alias("jsd"))
 
 
 def quantiles(rows: DataFrame, by: list[str], x: str, q: float) -> DataFrame:
@@ -94,9 +96,9 @@ def fixed_bins(rows: DataFrame, by: list[str], order: list[str], f: Column, widt
 
 def rescale(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """x scaled to 0..1 and standardised by the population deviation; null where there is no spread."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return rows.withColumn("scaled", F.try_divide(F.col(x) - low, high - low)).withColumn("standard", F.try_divide(F.col(x) - F.avg(x).over(w), F.stddev_pop(x).over(w)))
+    of = rows.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_dev"))
+    joined = rows.join(of, by)
+    return joined.withColumn("scaled", F.try_divide(F.col(x) - F.col("_low"), F.col("_high") - F.col("_low"))).withColumn("standard", F.try_divide(F.col(x) - F.col("_mean"), F.col("_dev"))).drop("_low", "_high", "_mean", "_dev")
 
 
 def log_sum(rows: DataFrame, by: list[str], x: str) -> DataFrame:

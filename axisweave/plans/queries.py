@@ -27,6 +27,11 @@ def query(oracle: str | None = None):
     return register
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Columns rounded, as sums of doubles depend on their order."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 OVERLAP = "a.chr = b.chr AND a.strand = b.strand AND a.start <= b.stop AND a.stop >= b.start"
 C = "chr, strand, start, stop"
 #: Reads of one hit are intervals a, those of three hits intervals b.
@@ -521,12 +526,12 @@ def site_usage(spark, sf_dir):
 
 @query("SELECT l_returnflag, sum(l_quantity) AS total, round(avg(l_quantity), 9) AS mean, round(var_pop(l_quantity), 6) AS var, round(stddev_pop(l_quantity), 6) AS stdev, round(sum(l_quantity * l_quantity), 3) AS squares, round(stddev_pop(l_quantity) / sqrt(count(*)), 6) AS stderr FROM lineitem GROUP BY ALL")
 def moments(spark, sf_dir):
-    return stats.moments(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    return rounded(stats.moments(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity"), mean=9, var=6, stdev=6, squares=3, stderr=6)
 
 
 @query("SELECT l_returnflag, round(covar_pop(l_quantity, l_extendedprice), 4) AS cov, round(corr(l_quantity, l_extendedprice), 9) AS pearson, round(corr(l_quantity, l_extendedprice) ^ 2, 9) AS r_squared FROM lineitem GROUP BY ALL")
 def bivariate(spark, sf_dir):
-    return stats.bivariate(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return rounded(stats.bivariate(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), cov=4, pearson=9, r_squared=9)
 
 
 RANK = "rank() OVER (PARTITION BY event_type ORDER BY {0}) + (count(*) OVER (PARTITION BY event_type, {0}) - 1) / 2.0"
@@ -534,7 +539,7 @@ RANK = "rank() OVER (PARTITION BY event_type ORDER BY {0}) + (count(*) OVER (PAR
 
 @query(f"SELECT event_type, round(corr(x, y), 9) AS spearman FROM (SELECT event_type, {RANK.format('value')} AS x, {RANK.format('user_id')} AS y FROM events) GROUP BY ALL")
 def spearman(spark, sf_dir):
-    return stats.spearman(table(spark, sf_dir, "events"), ["event_type"], "value", "user_id")
+    return rounded(stats.spearman(table(spark, sf_dir, "events"), ["event_type"], "value", "user_id"), spearman=9)
 
 
 @query("SELECT event_id, event_type, rank() OVER (PARTITION BY event_type ORDER BY user_id) - 1 + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS rank FROM events")
@@ -544,13 +549,13 @@ def average_rank(spark, sf_dir):
 
 @query("SELECT event_type, round(-sum(p * ln(p)), 9) AS entropy FROM (SELECT event_type, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM events GROUP BY event_type, user_id) GROUP BY ALL")
 def entropy(spark, sf_dir):
-    return stats.entropy(table(spark, sf_dir, "events"), ["event_type"], "user_id")
+    return rounded(stats.entropy(table(spark, sf_dir, "events"), ["event_type"], "user_id"), entropy=9)
 
 
 @query("""WITH p AS (SELECT event_type AS d, user_id AS x, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM events GROUP BY event_type, user_id), k AS (SELECT count(DISTINCT d) AS k FROM p),
   m AS (SELECT x, sum(p) / any_value(k) AS p FROM p, k GROUP BY x) SELECT round((SELECT -sum(p * ln(p)) FROM m) - (SELECT -sum(p * ln(p)) FROM p) / any_value(k), 9) AS jsd FROM k""")
 def jensen_shannon(spark, sf_dir):
-    return stats.jensen_shannon(table(spark, sf_dir, "events"), "event_type", "user_id")
+    return rounded(stats.jensen_shannon(table(spark, sf_dir, "events"), "event_type", "user_id"), jsd=9)
 
 
 @query("SELECT event_type, median(value) AS median, list_sort(list(value))[CAST(ceil(0.9 * (count(*) - 1)) AS INT) + 1] AS q90 FROM events GROUP BY ALL")
