@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -254,6 +256,32 @@ def test_archives(spark, tmp_path):
     assert warc.archive_round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_arc_files(spark, tmp_path):
+    """Both versions, with fields of their own, gzipped by member or not, and payloads that aren't UTF-8."""
+    page = b"<p>caf\xe9</p>"
+    other = b"HTTP/1.0 200 OK\r\nX-Name: \xe9t\xe9\r\n\r\n" + page
+    own = b"filedesc://x 0.0.0.0 20200102030405 text/plain 40\n" + b"2 0 Archive\nURL Archive-date Archive-length"[:40].ljust(40) + b"\n"
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "a.arc").write_bytes(warc.arc_bytes([(1, "http://a", page), (2, "http://b c", b"")], 1))
+    whole = warc.arc_bytes([(3, "http://c", page)], 2, date="20200102030405")
+    (folder / "b.arc.gz").write_bytes(gzip.compress(whole[:40]) + gzip.compress(whole[40:]))
+    foreign = f"http://d 192.0.2.9 19990102030405 text/html {len(other)}\n".encode() + other + b"\n" + b"http://e 192.0.2.9 19990102 text/plain 5\nplain\n"
+    (folder / "c.arc").write_bytes(warc.arc_bytes([], 1) + foreign)
+    got = warc.read_arc(spark, str(folder)).cache()
+    by = {r["url"]: r for r in got.collect()}
+    assert set(by) == {"http://a", "http://b%20c", "http://c", "http://d", "http://e"}
+    assert bytes(by["http://d"]["payload"]) == page and b"\xe9t\xe9" in bytes(by["http://d"]["http"]) and by["http://d"]["page_id"] is None
+    assert by["http://c"]["date"] == "2020-01-02T03:04:05Z" and by["http://e"]["date"] == "1999-01-02T00:00:00Z"
+    warc.write_warc(got, str(tmp_path / "w"))
+    back = {r["url"]: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert {u: (r["payload_digest"], r["record_type"], r["digest_ok"]) for u, r in back.items()} == {u: (r["payload_digest"], "response" if r["http"] else "resource", True) for u, r in by.items()}
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert sum(warc.unzipped(f).count(b"WARC/1.1\r\n") for f in files) == 5 and all(f[:2] == b"\x1f\x8b" for f in files if f)
+    with pytest.raises(warc.ArchiveError):
+        list(warc.parse_arc(io.BytesIO(own + b"no length\n")))
+
+
 def test_languages(spark):
     rnd = random.Random(3)
     rows = [(i, prose(rnd, lang, 60), lang, "s", 0) for i in range(60) for lang in [("en", "de")[i % 2]]] + [(90, None, None, None, None), (91, "12 34!", "en", None, None), (92, "", None, None, None), (None, prose(rnd, "en", 40), None, None, None)]
