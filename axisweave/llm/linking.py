@@ -3,7 +3,7 @@
 A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
 take in stay in the bucket for the next leader. After LEADERS rounds a bucket whose members are all of one component is done. In the
 others the signatures of all members of different components are compared in blocks, without making rows of pairs, those that leaders
-took in with the rest. In blocks with up to FORESTS agreeing pairs for each member all are verified at once; in others spanning forests of best
+took in with the rest. In blocks with up to FORESTS agreeing pairs for each component all are verified at once; in others spanning forests of best
 agreement first, then what remains between components that are still separate, until no such pair is left.
 """
 
@@ -165,9 +165,11 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float, empty:
                 if len(tried_block):
                     new = fresh(i, j, ids, block, tried_rows, tried_block)
                     i, j, share = i[new], j[new], share[new]
-                # of blocks with few pairs for their members all are taken, of others spanning forests
+                # of blocks with few pairs for their components all are taken, of others spanning forests
                 more = np.zeros(len(i), bool)
-                many = (np.bincount(block[i], minlength=int(block[-1]) + 1) > FORESTS * np.bincount(block))[block[i]]
+                order = np.lexsort((root, block))
+                other = np.append(True, (np.diff(block[order]) != 0) | (np.diff(root[order]) != 0))
+                many = (np.bincount(block[i], minlength=int(block[-1]) + 1) > FORESTS * np.bincount(block[order][other]))[block[i]]
                 took = [np.flatnonzero(~many | everything)]
                 large = np.flatnonzero(many & (not everything))
                 for part in np.split(large, np.flatnonzero(np.diff(block[i[large]])) + 1) if len(large) else ():
