@@ -6,6 +6,7 @@ a run of bytes that are digits, letters or part of a non-ASCII character.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,23 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*stored: DataFrame) -> None:
+    """Delete what store() wrote for these, once what was made of it is stored itself, and have Spark clear the shuffle files of finished steps.
+
+    Only files below the shared folder's axisweave are deleted. Shuffle files go when the driver's JVM finds that nothing refers to them any more.
+    """
+    for df in stored:
+        spark = df.sparkSession
+        jvm = spark._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/axisweave/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if stored:
+        gc.collect()
+        stored[0].sparkSession._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply); bijective."""
     x = x ^ (x >> U64(30))
