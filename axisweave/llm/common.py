@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -69,9 +70,10 @@ def release(*stored: DataFrame) -> None:
             if "/axisweave/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if stored:
+    for _ in range(2 if stored else 0):  # what the first round frees may hold what the second finds
         gc.collect()
         stored[0].sparkSession._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
