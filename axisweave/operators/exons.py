@@ -126,6 +126,7 @@ def trim_antisense(exons: DataFrame) -> DataFrame:
 
     An antisense stretch is a part of both strands' unions. A 3p exon that overlaps one then runs from its 5' end to the nearest 5' end of an
     exon of the other strand that lies upstream as seen from that strand; a 5p exon from the nearest 3' end downstream as seen from there to its 3' end. Where there is no such end, the exon stays.
+    An exon of one base keeps its start and only its stop moves.
     """
     union = coalesce_intervals(exons)
     sides = [union.where(F.col("strand") == s).withColumn("strand", F.lit(".")) for s in "+-"]
@@ -139,8 +140,10 @@ def trim_antisense(exons: DataFrame) -> DataFrame:
     last = upstream(turned.where("type = '3p_exon'").withColumn("pos", own5), ends(five_prime()))
     first = downstream(turned.where("type = '5p_exon'").withColumn("pos", own3), ends(three_prime()))
     cut = last.unionByName(first)
-    start, stop = F.least("pos", F.coalesce("site", "_far")), F.greatest("pos", F.coalesce("site", "_far"))
-    cut = cut.withColumn("_far", F.when(F.col("pos") == F.col("start"), F.col("stop")).otherwise(F.col("start")))
+    # as in the SQL, an exon of one base is kept by its start, so only its stop can move
+    begins = F.col("pos") == F.col("start")
+    start = F.when(begins, F.col("start")).otherwise(F.least("pos", F.coalesce("site", "start")))
+    stop = F.when(begins, F.greatest("pos", F.coalesce("site", "stop"))).otherwise(F.col("stop"))
     cut = cut.withColumn("_s", start).withColumn("_e", stop).withColumn("strand", F.col("own"))
     cut = cut.select(*[F.col("_s").alias(c) if c == "start" else F.col("_e").alias(c) if c == "stop" else F.col(c) for c in exons.columns])
     return rest.unionByName(hit.where("type = 'internal_exon'")).unionByName(cut)

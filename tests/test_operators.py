@@ -93,6 +93,14 @@ def test_running_best(spark):
     assert sorted(r["pos"] for r in exons.running_best(p, ["seg"]).collect()) == [100, 300]
 
 
+def test_trimming_of_one_base_exons(spark):
+    """As in the SQL: a terminal exon of one base keeps its start, and its stop moves only to the right."""
+    rows = [("+", 100, 100, "5p_exon"), ("-", 90, 110, "internal_exon"), ("-", 200, 200, "3p_exon"), ("+", 190, 210, "internal_exon"), ("+", 300, 300, "3p_exon"), ("-", 290, 310, "internal_exon")]
+    got = exons.trim_antisense(spark.createDataFrame([("c", *r) for r in rows], "chr string, strand string, start int, stop int, type string"))
+    assert sorted((r["start"], r["stop"]) for r in got.where("type <> 'internal_exon'").collect()) == [(100, 100), (200, 200), (300, 310)]
+    assert got.count() == len(rows)
+
+
 def test_components_and_paths(spark):
     rnd = random.Random(5)
     e = [(rnd.randint(0, 120), rnd.randint(0, 120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)]
