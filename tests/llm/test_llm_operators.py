@@ -243,6 +243,19 @@ def test_passages_in_pieces_and_with_changes(spark):
     assert any(d == 5000 and s in (3, 4) for d, s in got)
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_passages_whose_seeds_are_all_elsewhere_before(spark, copies):
+    """Each stretch of a passage is also in ``copies`` texts before its source, and in as many between source and copy."""
+    rnd = random.Random(11)
+    own = lambda n: ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(n)]
+    parts = [own(15) for _ in range(3)]
+    pieces = [own(9) + p + own(9) for p in parts for _ in range(2 * copies)]
+    rows = [(i + 1000 * (i % 2), w) for i, w in enumerate(pieces)]
+    rows += [(d, own(12) + parts[0] + own(1) + parts[1] + own(1) + parts[2] + own(12)) for d in (500, 5000)]
+    got = passages.passages(make(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert {(r["doc_id"], r["source_doc"], r["from_word"], r["to_word"], r["source_from"], r["words"]) for r in got} == {(5000, 500, 12, 59, 12, 45)}
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://a", "<p>ß\r\n\r\n</p>"), (2, None, "<p>ß\r\n\r\n</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e e", "WARC/1.1\r\n"), (None, "http://n", "lone"), (2, "http://b", "<p>ß\r\n\r\n</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("own"))
