@@ -58,6 +58,14 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(rows: DataFrame, buckets: int, by: str) -> DataFrame:
+    """Write rows to the shared folder as a table in buckets, so that what groups by the column reads them without a shuffle."""
+    spark = rows.sparkSession
+    name = f"axisweave_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/axisweave/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def release(*stored: DataFrame) -> None:
     """Delete what store() wrote for these, once what was made of it is stored itself, and have Spark clear the shuffle files of finished steps.
 
@@ -70,9 +78,15 @@ def release(*stored: DataFrame) -> None:
             if "/axisweave/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2 if stored else 0):  # what the first round frees may hold what the second finds
+    if stored:
+        clear_shuffles(stored[0].sparkSession)
+
+
+def clear_shuffles(spark: SparkSession) -> None:
+    """Have Spark clear the shuffle files of steps that nothing refers to any more."""
+    for _ in range(2):  # what the first round frees may hold what the second finds
         gc.collect()
-        stored[0].sparkSession._jvm.System.gc()
+        spark._jvm.System.gc()
         time.sleep(0.3)
 
 

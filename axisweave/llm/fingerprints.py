@@ -12,12 +12,11 @@ itself. Two fingerprints are compared at the larger of their sizes (the smaller
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import prepare, shared_dir, store
+from axisweave.llm.common import prepare, store, store_bucketed
 
 #: The least cells of a table. A table has at least twice as many cells as the text has pieces.
 LEAST_PART = 64
@@ -201,14 +200,6 @@ def with_next(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "t
     return inner.unionByName(lasts)
 
 
-def _bucketed(rows: DataFrame, buckets: int, by: str) -> DataFrame:
-    """Write rows to the shared folder as a table in buckets, so that what groups by the column reads them without a shuffle."""
-    spark = rows.sparkSession
-    name = f"axisweave_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/axisweave/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """op2's rows: each document's fingerprint, that of its edited text, and their likeness (shared pieces of all pieces).
 
@@ -225,7 +216,7 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         "block", "rid", "doc_id", F.length("text_").cast("long").alias("n_chars"), F.sha2("edited_", 256).alias("edited_sha256"),
         "a", digests(F.col("edited_")).alias("e"), "n",
     )
-    rows = _bucketed(rows.select("*", part_of(F.col("a")).alias("pa"), part_of(F.col("e")).alias("pe"), part_of(F.col("n")).alias("pn")), buckets, "block")
+    rows = store_bucketed(rows.select("*", part_of(F.col("a")).alias("pa"), part_of(F.col("e")).alias("pe"), part_of(F.col("n")).alias("pn")), buckets, "block")
     keys = ["block", "rid", "kind"]
 
     def attempt(source: DataFrame, kinds: Column, grow: int) -> DataFrame:

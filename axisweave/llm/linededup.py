@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import GOLDEN, U64, as_long, mix, pieces, prepare, store, text_buffers
+from axisweave.llm.common import GOLDEN, U64, as_long, clear_shuffles, mix, pieces, prepare, store, store_bucketed, text_buffers
 from axisweave.llm.linking import block_pairs, verified_links
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -162,29 +162,35 @@ def first_leaders(docs: DataFrame, groups: int) -> DataFrame:
             own, keys = [], []
             for part in pieces(batch, "text", SLICE):
                 data, start, end, _, _ = lines(part.column(0))
-                found, one = np.unique(line_ids(data, start, end), return_index=True)
+                every = line_ids(data, start, end)
+                found, one = np.unique(every, return_index=True)
                 one = np.sort(one[found != 0])
                 has, low = low_values(data, start[one], end[one])
-                one = one[has]
-                own.append(line_ids(data, start[one], end[one]))
+                own.append(every[one[has]])
                 keys.append(band_keys(densified(low)))
             if not own:
                 continue
             ids, first = np.unique(np.concatenate(own), return_index=True)
-            bucket, ids, leader, size = by_bucket(np.concatenate(keys)[first].reshape(-1), np.repeat(ids, BANDS))
+            # a bucket is its group, above 32 bits of the key, which alone are sent: buckets that meet so propose a few pairs more
+            key = np.concatenate(keys)[first].reshape(-1)
+            bucket, ids, leader, size = by_bucket((key >> U64(32)) % U64(groups) << U64(32) | key & U64(0xFFFFFFFF), np.repeat(ids, BANDS))
             sent, crowd = (size <= LOCAL) | (ids == leader), (size > LOCAL) & (ids != leader)
             # members are grouped by the bucket; pairs made here need no company and are dealt out by the id
             blobs = []
-            for rows, by in ((np.stack([bucket[sent], ids[sent]]), bucket[sent]), (np.stack([bucket[crowd], ids[crowd], leader[crowd]]), mix(ids[crowd]))):
+            members = ids[sent], bucket[sent].astype(np.uint32)
+            for rows, by in ((members, bucket[sent]), ((bucket[crowd], ids[crowd], leader[crowd]), mix(ids[crowd]))):
                 g = (by >> U64(32)).astype(np.int64) % groups
                 order = np.argsort(g, kind="stable")
-                rows, edge = rows[:, order], np.searchsorted(g[order], np.arange(groups + 1))
-                blobs.append([rows[:, edge[i] : edge[i + 1]].tobytes() if edge[i] < edge[i + 1] else b"" for i in range(groups)])
+                rows, edge = [r[order] for r in rows], np.searchsorted(g[order], np.arange(groups + 1))
+                blobs.append([b"".join(r[edge[i] : edge[i + 1]].tobytes() for r in rows) if edge[i] < edge[i + 1] else b"" for i in range(groups)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], ["g", "members", "crowd"])
 
     def across(table: pa.Table) -> pa.Table:
-        members, crowd = (np.concatenate([np.frombuffer(x, U64).reshape(n, -1) for x in table[c].to_pylist()], axis=1) for n, c in ((2, "members"), (3, "crowd")))
-        bucket, ids, leader, _ = by_bucket(*members)
+        crowd = np.concatenate([np.frombuffer(x, U64).reshape(3, -1) for x in table["crowd"].to_pylist()], axis=1)
+        sent = table["members"].to_pylist()
+        ids = np.concatenate([np.frombuffer(x, U64, len(x) // 12) for x in sent])
+        low = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8) for x in sent])
+        bucket, ids, leader, _ = by_bucket(U64(table["g"][0].as_py()) << U64(32) | low.astype(U64), ids)
         follows = ids != leader
         out = np.concatenate([crowd, np.stack([bucket[follows], ids[follows], leader[follows]])], axis=1)
         return pa.table([as_long(np.ascontiguousarray(x)) for x in out], names=["bucket", "id", "leader"])
@@ -238,6 +244,12 @@ def line_jaccard(x: pa.Array, y: pa.Array) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(union, 1), equal)
 
 
+def line_elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the distinct shingles of a column's lines."""
+    key = shingle_keys(column)
+    return (key >> U64(44)).astype(np.int64), key & U64((1 << 44) - 1)
+
+
 def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, first_doc, first_line, kept): a row for every line; lines of one class are equal or linked by pairs of
     similarity or more, and the first (by doc_id, then line number from 0) is kept.
@@ -258,7 +270,10 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
     listed = store(base.mapInArrow(ids_of, "doc_id long, line_no int, id long"))
     groups = max(1024, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     led = store(first_leaders(base, groups))
-    texts = store(texts_of(base, store(led.select(F.explode(F.array("id", "leader")).alias("id")).distinct())))
+    clear_shuffles(docs.sparkSession)
+    # in buckets by the id, so that the joins of all rounds move ids to the texts, not the texts
+    texts = store_bucketed(texts_of(base, store(led.select(F.explode(F.array("id", "leader")).alias("id")).distinct())), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    clear_shuffles(docs.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
@@ -280,7 +295,7 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), pa.array([x.tobytes() for x in own_bins(low)], pa.binary())], ["id", "signature"])
 
         own = store(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(sign, "id long, signature binary"))
-        return block_pairs(members, own, LEAST_AGREEMENT, empty=0)
+        return block_pairs(members, own, LEAST_AGREEMENT, 0, similarity, lambda ids: texts.join(ids, "id").select("id", F.col("line").alias("text")), line_elements)
 
     _, root = verified_links(None, verify, similarity, rest, led)
     place: Column = F.struct("doc_id", "line_no")

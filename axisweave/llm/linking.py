@@ -3,8 +3,9 @@
 A bucket's members are paired with a leader, not with each other, so candidates grow with the rows. Members that the leader doesn't
 take in stay in the bucket for the next leader. After LEADERS rounds a bucket whose members are all of one component is done. In the
 others the signatures of all members of different components are compared in blocks, without making rows of pairs, those that leaders
-took in with the rest. In blocks with up to FORESTS agreeing pairs for each component all are verified at once; in others spanning forests of best
-agreement first, then what remains between components that are still separate, until no such pair is left.
+took in with the rest. In blocks with up to FORESTS agreeing pairs for each component all become rows and are verified. Blocks with more give a spanning
+forest of their agreeing pairs; what those connect, over all buckets, is a neighbourhood, which holds every agreeing pair of these blocks. Its texts
+meet in blocks, and there all agreeing pairs between components are compared exactly; only a spanning forest of those alike leaves the block.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import as_long, store
+from axisweave.llm.common import as_long, clear_shuffles, store
 
-#: Rounds with one leader for each bucket; then members of one block of a bucket whose signatures are compared, forests taken of each in a
-#: turn, and turns with forests, after which all remaining pairs are taken.
-LEADERS, BLOCK, FORESTS, TURNS = 2, 1000, 3, 2
+#: Rounds with one leader for each bucket; then members and bytes of text of one block, and the agreeing pairs for each component of a block up to which they become rows.
+LEADERS, BLOCK, BLOCK_BYTES, FORESTS = 2, 1000, 8 << 20, 3
+#: Bytes of scratch when pairs of a block are compared exactly.
+SCRATCH = 32 << 20
 #: Links that one task contracts.
 CONTRACT = 500_000
 #: Blocks of up to so many members are compared many at a time.
@@ -40,30 +42,42 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(first.select("bucket", "leader"), "bucket").where("id <> leader")
 
 
-def forests(left: np.ndarray, right: np.ndarray, agreement: np.ndarray, n: int, times: int = FORESTS) -> np.ndarray:
-    """Places of the pairs in ``times`` maximum spanning forests by agreement, none of which shares a pair: under times * n of them.
-
-    Of members that pairs alike in truth connect, a forest of best agreement holds such pairs unless worse pairs agree better by chance; this
-    would have to happen in every forest.
-    """
-    rest = np.argsort(-agreement, kind="stable")
-    out = []
-    for _ in range(times):
-        root, took, open_ = list(range(n)), [], n - 1
-        for at, a, b in zip(rest.tolist(), left[rest].tolist(), right[rest].tolist(), strict=True):
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            if a != b:
-                root[a] = b
-                took.append(at)
-                open_ -= 1
-                if not open_:
-                    break
-        out += took
-        rest = rest[~np.isin(rest, took)]
-    return np.array(out, np.int64)
+def forest(left: np.ndarray, right: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
+    """Places of the pairs in a maximum spanning forest by share: under n of them."""
+    order = np.argsort(-share, kind="stable")
+    root, took, open_ = list(range(n)), [], n - 1
+    for at, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[a] = b
+            took.append(at)
+            open_ -= 1
+            if not open_:
+                break
+    return np.array(took, np.int64)
+
+
+def jaccard_of_pairs(row: np.ndarray, key: np.ndarray, n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets i and j, pair by pair, of n sets given as (row, key), each key once a row. Keys of one row only are counted, not compared."""
+    size = np.bincount(row, minlength=n)
+    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    some = count[place] > 1
+    row, place, keys = row[some], number[place[some]], int((count > 1).sum())
+    both, width = np.zeros(len(i), np.int64), max(64, SCRATCH // max(n, 1) // 64 * 64)
+    for low in range(0, keys, width):
+        here = (place >= low) & (place < low + width)
+        bits = np.zeros((n, min(width, -(-(keys - low) // 64) * 64)), bool)
+        bits[row[here], place[here] - low] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, SCRATCH // (8 * words.shape[1]))
+        for at in range(0, len(i), step):
+            to = slice(at, at + step)
+            both[to] += np.bitwise_count(words[i[to]] & words[j[to]]).sum(axis=1, dtype=np.int64)
+    return both / np.maximum(size[i] + size[j] - both, 1)
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -97,22 +111,23 @@ def agreement(one: np.ndarray, two: np.ndarray, empty: int | None = None) -> np.
     return ((one == two) & some).sum(axis=1) / np.maximum(some.sum(axis=1), 1)
 
 
-def block_pairs(members: DataFrame, signatures: DataFrame, least: float, empty: int | None = None) -> Callable[[DataFrame, DataFrame | None, bool], DataFrame]:
-    """A function from (roots(id, root), the pairs it has given before, whether to take all) to the pairs (bucket, x, y, a, b, more) to verify
-    of members(bucket, id): of those in different components whose signatures(id, signature: uint16 values) agree in a share of
-    ``least``, the spanning forests of best agreement, or all. ``more`` tells that the block has other such pairs.
+def block_pairs(
+    members: DataFrame, signatures: DataFrame, least: float, empty: int | None = None, similarity: float = 0.0, texts: Callable[[DataFrame], DataFrame] | None = None,
+    elements: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None,
+) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame, DataFrame], DataFrame]]:
+    """Two functions over members(bucket, id) and signatures(id, signature: uint16 values). A pair agrees if its signatures do in a share of ``least``.
+
+    sparse(roots(id, root)): (a, b, many). Of the pairs that share a bucket, agree and are of different components: all of a block with few
+    of them; of a block with many a spanning forest.
+    dense(near(id, root), roots): near's components are neighbourhoods. All agreeing pairs in one neighbourhood, of different components: where texts
+    (of ids, as (id, text)) and elements (of texts, as (row, key)) are given, they are compared exactly within their block and (a, b, like) is a
+    spanning forest of those of ``similarity`` or more; else they are given as (a, b) to verify.
 
-    A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each two of them, x and y, meet by themselves, so
-    that no task holds a whole large bucket; a partition is read block by block.
+    A bucket or neighbourhood of more than BLOCK members (or BLOCK_BYTES of text) is cut into blocks by a hash of the id, and each two of them, x and y,
+    meet by themselves, so that no task holds a whole large one; a partition is read block by block.
     """
     keys = ("bucket", "x", "y")
 
-    def fresh(i: np.ndarray, j: np.ndarray, ids: np.ndarray, block: np.ndarray, tried: pa.Table, tried_block: np.ndarray) -> np.ndarray:
-        """Which pairs of places are not among the tried pairs of their block."""
-        old = {(k, a, b) for k, a, b in zip(tried_block.tolist(), tried["id"].to_pylist(), tried["other"].to_pylist(), strict=True)}
-        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return np.array([p not in old for p in zip(block[i].tolist(), low.tolist(), high.tolist(), strict=True)], bool)
-
     def hits(own: np.ndarray, root: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place, place, agreement) of the agreeing pairs within blocks, in order of the block."""
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -141,64 +156,87 @@ def block_pairs(members: DataFrame, signatures: DataFrame, least: float, empty:
         order = np.argsort(block[i], kind="stable")
         return i[order], j[order], share[order]
 
-    def propose(roots: DataFrame, tried: DataFrame | None = None, everything: bool = False) -> DataFrame:
-        named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        n = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-        cut = named.join(n.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("s")), "bucket").join(signatures, "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-        dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "root", "signature", F.lit(None).cast("long").alias("other"))
-        if tried is not None:
-            open_ = tried.groupBy(*keys).agg(F.min("more").alias("more")).where("more").select(*keys)
-            old = tried.join(open_, [*keys], "left_semi").select(*keys, F.lit(0).alias("i"), F.col("a").alias("id"), F.lit(0).cast("long").alias("root"), F.lit(None).cast("binary").alias("signature"), F.col("b").alias("other"))
-            dealt = dealt.join(open_, [*keys], "left_semi").unionByName(old)
-        kind = members.schema["bucket"].dataType.simpleString()
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(rows, ids, components, block, place, place, agreement) of whole blocks."""
+        for rows, block in whole_blocks(batches, keys):
+            x, y, own, ids, root = (rows[c].to_numpy() for c in ("x", "y", "i", "id", "root"))
+            sig = np.stack([np.frombuffer(v, np.uint16) for v in rows["signature"].to_pylist()])
+            yield rows, ids, root, block, *hits(own, root, sig, x, y, block)
+
+    def parts(block: np.ndarray) -> list[np.ndarray]:
+        """The places of each block's pairs, which come in order of the block."""
+        return np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1) if len(block) else []
+
+    def sent(ids: np.ndarray, i: np.ndarray, j: np.ndarray, last: pa.Array, name: str) -> pa.RecordBatch:
+        both = np.stack([ids[i], ids[j]])
+        return pa.RecordBatch.from_arrays([as_long(both.min(axis=0)), as_long(both.max(axis=0)), last], ["a", "b", name])
+
+    def dealt(named: DataFrame, size: DataFrame, *more: str) -> DataFrame:
+        """Rows (bucket, id, root, signature, ...) to the blocks that they meet in, sorted; size(bucket, s): blocks of a bucket."""
+        cut = named.join(size, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        return cut.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "root", "signature", *more).repartition(*keys).sortWithinPartitions(*keys)
+
+    def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    mixed = (F.min("root") != F.max("root")).alias("mixed")
+
+    def sparse(roots: DataFrame) -> DataFrame:
+        named = with_roots(members, roots)
+        size = named.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("s"), mixed).where("mixed").select("bucket", "s")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, block in whole_blocks(batches, keys):
-                before = rows["other"].is_valid().to_numpy()
-                tried_rows, tried_block = rows.filter(pa.array(before)), block[before]
-                rows, block = rows.filter(pa.array(~before)), block[~before]
-                if not rows.num_rows:
-                    continue
-                x, y, own, ids, root = (rows[c].to_numpy() for c in ("x", "y", "i", "id", "root"))
-                sig = np.stack([np.frombuffer(v, np.uint16) for v in rows["signature"].to_pylist()])
-                i, j, share = hits(own, root, sig, x, y, block)
-                if len(tried_block):
-                    new = fresh(i, j, ids, block, tried_rows, tried_block)
-                    i, j, share = i[new], j[new], share[new]
-                # of blocks with few pairs for their components all are taken, of others spanning forests
-                more = np.zeros(len(i), bool)
+            for _, ids, root, block, i, j, share in agreeing(batches):
                 order = np.lexsort((root, block))
                 other = np.append(True, (np.diff(block[order]) != 0) | (np.diff(root[order]) != 0))
                 many = (np.bincount(block[i], minlength=int(block[-1]) + 1) > FORESTS * np.bincount(block[order][other]))[block[i]]
-                took = [np.flatnonzero(~many | everything)]
-                large = np.flatnonzero(many & (not everything))
-                for part in np.split(large, np.flatnonzero(np.diff(block[i[large]])) + 1) if len(large) else ():
-                    nodes, node = np.unique(np.concatenate([root[i[part]], root[j[part]]]), return_inverse=True)
-                    if len(part) > FORESTS * len(nodes):
-                        more[part] = True
-                        part = part[forests(node[: len(part)], node[len(part) :], share[part], len(nodes))]
-                    took.append(part)
+                large, took = np.flatnonzero(many), [np.flatnonzero(~many)]
+                for part in parts(block[i[large]]):
+                    at = large[part]
+                    nodes, node = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+                    took.append(at[forest(node[: len(at)], node[len(at) :], share[at], len(nodes))])
                 at = np.concatenate(took)
-                both = np.stack([ids[i[at]], ids[j[at]]])
-                own_keys = [rows[c].combine_chunks().take(pa.array(i[at])) for c in keys]
-                yield pa.RecordBatch.from_arrays([*own_keys, as_long(both.min(axis=0)), as_long(both.max(axis=0)), pa.array(more[at])], [*keys, "a", "b", "more"])
+                yield sent(ids, i[at], j[at], pa.array(many[at]), "many")
+
+        return dealt(named.join(signatures, "id"), size).mapInArrow(run, "a long, b long, many boolean")
 
-        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"bucket {kind}, x int, y int, a long, b long, more boolean")
+    def dense(near: DataFrame, roots: DataFrame) -> DataFrame:
+        named = with_roots(near.select(F.col("root").alias("bucket"), "id"), roots).join(signatures, "id").select("bucket", "id", "root", "signature")
+        exact = texts is not None
+        named = store(named.join(texts(named.select("id")), "id") if exact else named)
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)) if exact else F.ceil(F.count(F.lit(1)) / BLOCK)
+        size = named.groupBy("bucket").agg(blocks.cast("int").alias("s"), mixed).where("mixed").select("bucket", "s")
 
-    return propose
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, ids, _, block, i, j, _ in agreeing(batches):
+                if not exact:
+                    yield sent(ids, i, j, pa.array(np.zeros(len(i))), "like")
+                    continue
+                for at in parts(block[i]):
+                    nodes, node = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+                    row, key = elements(rows["text"].take(pa.array(nodes)).combine_chunks())
+                    left, right = node[: len(at)], node[len(at) :]
+                    like = jaccard_of_pairs(row, key, len(nodes), left, right)
+                    ok = np.flatnonzero(like >= similarity)
+                    took = ok[forest(left[ok], right[ok], like[ok], len(nodes))]
+                    yield sent(ids, i[at[took]], j[at[took]], pa.array(like[took]), "like")
+
+        found = dealt(named, size, *["text"] * exact).mapInArrow(run, "a long, b long, like double")
+        return found if exact else found.drop("like")
+
+    return sparse, dense
 
 
 def ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
 
 
-def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], Callable[..., DataFrame]], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], DataFrame], similarity: float, rest: Callable[[DataFrame], tuple[Callable[..., DataFrame], ...]], led: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, like) with like >= similarity and their components (id, root), from buckets(bucket, id), or from the first round's pairs
     led(bucket, id, leader).
 
     verify() takes distinct pairs (a, b), a < b, and returns those alike, with ``like``. rest() takes the members(bucket, id) of the buckets
-    that hold several components after the leaders and returns a function that gives the pairs to verify (see block_pairs()). It is asked
-    again, with the components so far, until no block has more of them.
+    that hold several components after the leaders and returns block_pairs() of them.
     """
     links: list[DataFrame] = []
     done: list[DataFrame] = []  # the pairs that have been verified
@@ -210,26 +248,30 @@ def verified_links(buckets: DataFrame | None, verify: Callable[[DataFrame], Data
         if turn or led is None:
             led = store(leader_pairs(buckets))
         if not turn:
-            every = led.select("bucket", "id").union(led.select("bucket", F.col("leader").alias("id"))).distinct()
-        pairs = ordered(led).select("a", "b").distinct()
+            every = store(led.select("bucket", "id").union(led.select("bucket", F.col("leader").alias("id"))).distinct())
+        pairs = store(ordered(led).select("a", "b").distinct())
         links.append(store(verify(pairs.join(union(done), ["a", "b"], "left_anti") if done else pairs)))
+        clear_shuffles(links[-1].sparkSession)
         done.append(pairs)
     root = components(union(links))
     # two members of a bucket have met as leader and member; buckets of the same members count once
     named = every.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("t"), F.min("root").alias("_low"), F.max("root").alias("_high"))
     mixed = mixed.where("_low <> _high and n > 2").groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket")
-    propose = rest(store(every.join(mixed, "bucket", "left_semi")))
-    given: list[DataFrame] = []
-    while True:
-        given.append(store(propose(root, union(given) if given else None, len(given) >= TURNS)))
-        fresh = given[-1].select("a", "b").distinct()
-        links.append(store(verify(fresh.join(union(done), ["a", "b"], "left_anti"))))
-        done.append(fresh)
-        if not links[-1].isEmpty():
-            root = components(links[-1], known=root)
-        if given[-1].where("more").isEmpty():
-            break
+    sparse, dense = rest(store(every.join(mixed, "bucket", "left_semi")))
+    given = store(sparse(root))
+
+    def follow(found: DataFrame) -> DataFrame:
+        links.append(store(found))
+        clear_shuffles(found.sparkSession)
+        return root if links[-1].isEmpty() else components(links[-1], known=root)
+
+    new = lambda pairs: pairs.select("a", "b").distinct().join(union(done), ["a", "b"], "left_anti")
+    root = follow(verify(new(given.where("not many"))))
+    crowded = given.where("many")
+    if not crowded.isEmpty():
+        found = dense(components(crowded), root)
+        root = follow(found if "like" in found.columns else verify(new(found)))
     return union(links).where(F.col("like") >= similarity), root
 
 

@@ -121,6 +121,15 @@ def weighted_jaccard(x: pa.Array, y: pa.Array) -> np.ndarray:
     return np.where(total > 0, low / np.maximum(total - low, 1), 1.0)
 
 
+def text_elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of a column's weighted shingles, a shingle of weight w as w keys: the Jaccard similarity of these sets is the weighted one."""
+    h, row, weight = shingles(column)
+    unit = np.repeat(np.arange(len(h)), weight)
+    nth = (np.arange(len(unit)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(U64)
+    with np.errstate(over="ignore"):
+        return row[unit], mix(h[unit] * GOLDEN + nth)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): documents of one class are linked by chains of pairs with weighted Jaccard >= similarity.
 
@@ -149,11 +158,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     buckets = kept.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
     signatures = kept.select(F.col("doc_id").alias("id"), "signature")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return among(base, "doc_id", ids.select("id").distinct()).groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = store(among(base, "doc_id", ids).groupBy("doc_id").agg(F.min("text").alias("text")))
-        x = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-        both = x.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        texts = store(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+        x = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        both = x.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -162,7 +173,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
 
         return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
 
-    links, root = verified_links(buckets, verify, similarity, lambda m: block_pairs(m, signatures, LEAST_AGREEMENT))
+    def rest(members: DataFrame):
+        own = store(signatures.join(members.select("id").distinct(), "id", "left_semi"))
+        return block_pairs(members, own, LEAST_AGREEMENT, None, similarity, texts_of, text_elements)
+
+    links, root = verified_links(buckets, verify, similarity, rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     named = stands.join(root, "id", "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return one.join(named, "same").select("doc_id", "class_id", "n_links")

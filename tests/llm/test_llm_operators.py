@@ -334,3 +334,30 @@ def test_pipeline(spark, tmp_path):
     assert set(range(24)) <= set(got) | {2} and not {24, 27, 28, 29} & set(got)
     assert len({2, 25, 26} & set(got)) <= 2
     assert all(r["lossless"] and r["n_chars"] == len(r["text"]) and r["n_tokens"] == len(r["ids"]) for r in got.values())
+
+
+def test_lines_that_agree_and_are_not_alike_make_no_rows_of_pairs(spark, monkeypatch):
+    """Versions of one line of which most agree by signature and few are alike: the pairs verified by joins grow with the lines, and no link is lost."""
+    rnd, n = random.Random(3), 300
+    base = [f"word{i}" for i in range(40)]
+    lines = []
+    for i in range(n):
+        w = list(base)
+        for k in rnd.sample(range(40), 2 + i % 2 if i % 20 else 1):
+            w[k] = f"{k}x{rnd.randrange(10**4)}"
+        lines.append(" ".join(w))
+    asked = []
+
+    def counted(buckets, verify, *more, **named):
+        return linking.verified_links(buckets, lambda pairs: asked.append(pairs.count()) or verify(pairs), *more, **named)
+
+    monkeypatch.setattr(linededup, "verified_links", counted)
+    got = {r["doc_id"]: r["first_doc"] for r in linededup.classed_lines(make(spark, list(enumerate(lines)))).collect()}
+    sets = [frozenset(x[k : k + 5] for k in range(len(x) - 4)) for x in lines]
+    alike = [(i, j) for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(n))
+    for _ in range(20):
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 0 < len(alike) < n * n / 8 and [got[i] for i in range(n)] == root
+    assert sum(asked) <= 30 * n
