@@ -33,6 +33,8 @@ CONVERTED = "page_id long, url string, ip string, date string, record_id string,
 KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 #: What stands between two records of a file: a gzip member of nothing.
 BETWEEN = gzip.compress(b"", mtime=0)
+#: Bytes that a gzip member is given at a time.
+WINDOW = 1 << 14
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, record_id string, digest_ok boolean"
 
 
@@ -44,13 +46,17 @@ def unzipped(raw: bytes) -> bytes:
     """The content of all members of a gzip file, or the bytes of another file."""
     if raw[:2] != b"\x1f\x8b":
         return raw
-    out = []
-    while raw:
+    out, at, all_ = [], 0, memoryview(raw)
+    while at < len(raw):
         member = zlib.decompressobj(31)
-        out.append(member.decompress(raw))
+        while not member.eof and at < len(raw):  # by WINDOW, as what follows a member is copied
+            out.append(member.decompress(all_[at : at + WINDOW]))
+            at = min(at + WINDOW, len(raw))
         if not member.eof:
             raise ArchiveError("a gzip member is cut")
-        raw = member.unused_data.lstrip(b"\0")
+        at -= len(member.unused_data)
+        while at < len(raw) and not raw[at]:
+            at += 1
     return b"".join(out)
 
 
