@@ -12,7 +12,6 @@ itself. Two fingerprints are compared at the larger of their sizes (the smaller
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,11 +188,11 @@ def with_next(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "t
     spans = spans.select("span", F.lead("first").over(across).alias("_after"), F.min("first").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_begin"))
     within = F.lead("block").over(Window.partitionBy("span").orderBy("block"))
     blocks = store(blocks.withColumn("_in", within).join(spans, "span").select("block", "rows", F.coalesce("_in", "_after", "_begin").alias("after")))
-    dealt = base.where("block is not null").repartition(buckets, "block").withColumn("a", digests(F.col("text")))  # the filter that joins add, so that all read one shuffle
+    dealt = base.where("block is not null").repartition(buckets, "block").withColumn("a", digests(F.col("text")))  # the filter that joins add, so that all read one shuffle; for this the union's first side has names of its own, too
     order = Window.partitionBy("block").orderBy("doc_id", "h", "text")
     then = F.lead(F.struct("text", "a")).over(order)
     listed = dealt.select("block", F.row_number().over(order).alias("rid"), "doc_id", "text", "a", then.alias("then"))
-    inner = listed.where("then is not null").select("block", "rid", "doc_id", "text", "a", F.col("then.text").alias("next_text"), F.col("then.a").alias("next_a"))
+    inner = listed.where("then is not null").select(*[F.col(c).alias(c) for c in ("block", "rid", "doc_id", "text", "a")], F.col("then.text").alias("next_text"), F.col("then.a").alias("next_a"))
     lasts = listed.where("then is null").join(blocks.select("block", "after"), "block")
     firsts = listed.where("rid = 1").select(F.col("block").alias("after"), F.col("text").alias("next_text"), F.col("a").alias("next_a"))
     lasts = lasts.join(firsts, "after").select(*inner.columns).repartition(buckets, "block")

@@ -379,3 +379,13 @@ def test_unzipping_many_members_takes_time_in_proportion():
         warc.unzipped(image)
         took.append(time.process_time() - began)
     assert took[1] < 24 * took[0]
+
+
+def test_next_documents_come_from_one_shuffle_of_the_texts(spark):
+    """Inner rows, last rows and first rows of blocks read one exchange."""
+    rows = fingerprints.with_next(make(spark, [(i, f"text {i}. More.") for i in range(2000)]), 8)
+    run = rows._jdf.queryExecution()
+    assert run.toRdd().count() == 2000
+    final = run.executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [x for x in final.split("\n") if "REPARTITION_BY_NUM" in x]
+    assert len(exchanges) == 3 and sum("ReusedExchange" not in x for x in exchanges) == 1
