@@ -389,3 +389,35 @@ def test_next_documents_come_from_one_shuffle_of_the_texts(spark):
     final = run.executedPlan().toString().split("== Initial Plan ==")[0]
     exchanges = [x for x in final.split("\n") if "REPARTITION_BY_NUM" in x]
     assert len(exchanges) == 3 and sum("ReusedExchange" not in x for x in exchanges) == 1
+
+
+def test_documents_that_agree_and_are_not_alike_make_no_rows_of_pairs(spark, monkeypatch):
+    """The same for versions of one document; within blocks the weighted similarity is that of the exact comparison."""
+    import pyarrow as pa
+
+    rnd, n = random.Random(4), 200
+    docs = []
+    for i in range(n):
+        w = [f"word{j}" for j in range(120)]
+        for k in rnd.sample(range(120), 2 if i % 20 else 1):
+            w[k] = f"new{rnd.randrange(10**6)}"
+        docs.append(" ".join(w))
+    asked = []
+
+    def counted(buckets, verify, *more, **named):
+        return linking.verified_links(buckets, lambda pairs: asked.append(pairs.count()) or verify(pairs), *more, **named)
+
+    monkeypatch.setattr(neardup, "verified_links", counted)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(make(spark, list(enumerate(docs)))).collect()}
+    sets = [frozenset(tuple(x.split()[k : k + 5]) for k in range(116)) for x in docs]
+    alike = [(i, j) for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(n))
+    for _ in range(20):
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 0 < len(alike) < n * n / 8 and [got[i] for i in range(n)] == root
+    assert sum(asked) <= 30 * n
+    texts = [*docs[:40], "a b a b a b a b a b a b", "a b a b a b a b a b", "b a b a b a b a b a b"]
+    i, j = np.triu_indices(len(texts), 1)
+    row, key = neardup.text_elements(pa.array(texts))
+    assert linking.jaccard_of_pairs(row, key, len(texts), i, j).tolist() == neardup.weighted_jaccard(pa.array(texts).take(pa.array(i)), pa.array(texts).take(pa.array(j))).tolist()
