@@ -211,9 +211,8 @@ class Encoder:
         """DRAWN bits for each of n chunks, each set with the probability limit / 2^32 (its binary digits, from the last)."""
         rng = np.random.Generator(np.random.PCG64(int.from_bytes(blake2b(f"{self.seed},{document}".encode(), digest_size=16).digest())))
         out = np.zeros(n, np.uint64)
-        for b in range(32):
-            r = rng.integers(0, 1 << 64, n, np.uint64)
-            out = out | r if self.limit >> b & 1 else out & r
+        for b, r in enumerate(rng.integers(0, 1 << 64, (32, n), np.uint64)):
+            (np.bitwise_or if self.limit >> b & 1 else np.bitwise_and)(out, r, out=out)
         return out.tolist()
 
     def learn(self, chunk: str) -> tuple[bytes, int]:
