@@ -24,7 +24,7 @@ from axisweave.llm.common import as_long, clear_shuffles, store
 #: Rounds with one leader for each bucket; then members and bytes of text of one block, and the agreeing pairs for each component of a block up to which they become rows.
 LEADERS, BLOCK, BLOCK_BYTES, FORESTS = 2, 1000, 8 << 20, 3
 #: Bytes of scratch when pairs of a block are compared exactly.
-SCRATCH = 32 << 20
+SCRATCH = 8 << 20
 #: Links that one task contracts.
 CONTRACT = 500_000
 #: Blocks of up to so many members are compared many at a time.
