@@ -31,6 +31,8 @@ LOCAL = 8
 MOST_BITS = 28
 #: Bytes of text that are hashed at a time, so that scratch arrays stay in the processor's cache.
 SLICE = 500_000
+#: Marks of a line, by which pairs that can't be alike are told before their shingles are compared.
+MARKS = 1024
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -244,6 +246,32 @@ def line_jaccard(x: pa.Array, y: pa.Array) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(union, 1), equal)
 
 
+def marked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """([lines, MARKS] bool, places): the marks that the shingles of each line hit, and the places of shingles in it, repeated ones included."""
+    data, off = text_buffers(column)
+    chars, a, b = characters(data, off[:-1], off[1:])
+    count = np.maximum(b - a - SHINGLE + 1, 0)
+    at = np.arange(int(count.sum())) + np.repeat(a - (np.cumsum(count) - count), count)
+    with np.errstate(over="ignore"):
+        mark = rolled(chars, np.uint32) * np.uint32(FACTORS[2]) >> np.uint32(32 - MARKS.bit_length() + 1)
+    out = np.zeros(len(a) * MARKS, bool)
+    out[np.repeat(np.arange(len(a)) * MARKS, count) + mark[at]] = True
+    return out.reshape(-1, MARKS), count
+
+
+def may_be_alike(x: pa.Array, y: pa.Array, similarity: float) -> np.ndarray:
+    """Whether the lines of two columns can have the similarity, row by row; exact in those that can't.
+
+    Two sets that have it differ in (1 - similarity) / similarity shingles at most for each of the smaller one, and every mark that one of
+    them hits alone is hit by a shingle that the other lacks. Lines without shingles aren't told apart.
+    """
+    coded = y.dictionary_encode()  # a line that many rows have is marked once
+    (left, n), (right, m), of = marked(x), marked(coded.dictionary), coded.indices.to_numpy()
+    least = np.minimum(n, m[of])
+    apart = np.count_nonzero(left != right[of], axis=1)
+    return (least == 0) | (apart * similarity <= (1 - similarity) * least + 1e-6)
+
+
 def line_elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the distinct shingles of a column's lines."""
     key = shingle_keys(column)
@@ -282,6 +310,7 @@ def classed_lines(docs: DataFrame, similarity: float = SIMILARITY, key: str = "d
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch, "x", SLICE):
+                    part = part.filter(pa.array(may_be_alike(part.column(2), part.column(3), similarity)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(line_jaccard(part.column(2), part.column(3)))], ["a", "b", "like"])
 
         return both.mapInArrow(run, "a long, b long, like double").where(F.col("like") >= similarity)
