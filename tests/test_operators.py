@@ -246,3 +246,34 @@ def test_near_ties_of_junctions(spark):
     s = spark.createDataFrame([("c", "+", 10, "5p", 40, 0), ("c", "+", 20, "3p", 20, 90), ("c", "+", 40, "3p", 20, 100)], "chr string, strand string, pos int, side string, e long, i long")
     got = splice.judge_junctions(j, s).orderBy("stop").collect()
     assert got[0]["p3"] != got[1]["p3"] and [r["accepted"] for r in got] == [True, True]
+
+
+def test_path_walks_go_by_batches(spark):
+    """Many small loci are walked in one Arrow batch, not a group each; a locus that goes on in later batches stays whole."""
+    loci = spark.range(300).select(F.col("id").alias("locus_id"), F.explode(F.sequence(F.lit(0), (F.col("id") % 6).cast("int"))).alias("a"))
+    edges = loci.select("locus_id", F.col("a").cast("long").alias("a"), F.explode(F.array(F.col("a") + 1, F.col("a") + 2)).alias("b")).withColumn("b", F.col("b").cast("long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        plan = graph.count_paths(edges)._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+        counts = {(r["locus_id"], r["node"]): int(r["paths"]) for r in graph.count_paths(edges).collect()}
+        paths, skipped = graph.enumerate_paths(edges, 8).collect(), {r["locus_id"] for r in graph.skipped_loci(edges, 8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    # node n has n + 1 and n + 2 below it, up to the leaves m + 1 and m + 2 (m = locus % 6)
+    def number(m, a):
+        return 1 if a > m else number(m, a + 1) + number(m, a + 2)
+
+    assert counts == {(i, a): number(i % 6, a) for i in range(300) for a in range(i % 6 + 3)}
+    assert skipped == {i for i in range(300) if number(i % 6, 0) >= 8}
+    assert {i: sum(r["locus_id"] == i for r in paths) for i in range(300)} == {i: 0 if i in skipped else number(i % 6, 0) for i in range(300)}
+    assert all(r["path"][0] == r["first"] == 0 and all(y - x in (1, 2) for x, y in zip(r["path"], r["path"][1:])) for r in paths)
+
+
+def test_path_numbers_over_64_bits(spark):
+    edges = spark.createDataFrame([(1, a, a + d) for a in range(120) for d in (1, 2)], "locus_id long, a long, b long")
+    x, y = 1, 1
+    for _ in range(120):
+        x, y = y, x + y
+    assert graph.count_paths(edges).where("node = 0").first()["paths"] == y
