@@ -7,15 +7,29 @@ from pyspark.sql import functions as F
 
 from axisweave.operators.intervals import KEYS, coalesce_intervals, overlap_join, subtract
 
+#: Rows that one task is to sort.
+ROWS_A_TASK = 1_000_000
+
 
 def transcripts(exons: DataFrame, by: str = "transcript_id") -> DataFrame:
     """The span of each transcript's exons (chr, strand, start, stop, transcript)."""
     return exons.groupBy(*KEYS, by).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
-def introns(exons: DataFrame, by: str = "transcript_id") -> DataFrame:
-    """What a transcript's exons leave of its span."""
-    return subtract(transcripts(exons, by), exons, keys=[*KEYS, by])
+def tasks_for(rows: DataFrame) -> int:
+    """As many tasks as hold ROWS_A_TASK rows each, and the session's number of shuffle partitions at least, so that what one task sorts doesn't grow with the input."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+
+
+def _reached(by: str) -> Column:
+    """The last position of the exons before, in the order of their starts."""
+    return F.max("stop").over(Window.partitionBy(*KEYS, by).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def introns(exons: DataFrame, by: str = "transcript_id", tasks: int | None = None) -> DataFrame:
+    """What a transcript's exons leave of its span: gaps before exons that start past all exons before. Rows are sorted once, within their transcript."""
+    dealt = exons.select(*KEYS, by, "start", "stop").repartition(tasks or tasks_for(exons), by).withColumn("_reached", _reached(by))
+    return dealt.where(F.col("start") - 1 > F.col("_reached")).select(*KEYS, by, (F.col("_reached") + 1).alias("start"), (F.col("start") - 1).alias("stop"))
 
 
 def untranslated(exons: DataFrame, cds: DataFrame, by: str = "transcript_id") -> DataFrame:
@@ -27,13 +41,30 @@ def untranslated(exons: DataFrame, cds: DataFrame, by: str = "transcript_id") ->
     return named.withColumn("side", F.when((F.col("stop") < F.col("_low")) == (F.col("strand") == "+"), "5p").otherwise("3p")).drop("_low")
 
 
-def gene_report(exons: DataFrame, cds: DataFrame, gene: str = "gene_id", by: str = "transcript_id") -> DataFrame:
-    """Each gene with its transcript of the longest 3' UTR (the least id of several) and the least, greatest and mean size of the introns of that one."""
-    size = untranslated(exons, cds, by).where("side = '3p'").groupBy(by).agg(F.sum(F.col("stop") - F.col("start") + 1).alias("utr3"))
-    named = exons.select(gene, by).distinct().join(size, by, "left").withColumn("utr3", F.coalesce("utr3", F.lit(0)))
-    best = named.groupBy(gene).agg(F.min(F.struct((-F.col("utr3")).alias("least"), F.col(by).alias(by))).alias("b")).select(gene, F.col(f"b.{by}").alias(by), (-F.col("b.least")).alias("utr3"))
-    gaps = introns(exons, by).groupBy(by).agg(*[f(F.col("stop") - F.col("start") + 1).alias(n) for f, n in ((F.min, "least_intron"), (F.max, "greatest_intron"), (F.avg, "mean_intron"))])
-    return best.join(gaps, by, "left")
+def gene_report(exons: DataFrame, cds: DataFrame, gene: str = "gene_id", by: str = "transcript_id", tasks: int | None = None) -> DataFrame:
+    """Each gene with its transcript of the longest 3' UTR (the least id of several) and the least, greatest and mean size of the introns of that one.
+
+    Exons and coding spans meet in one sort by transcript: an exon's gap is what lies between it and all exons before, its part of the UTR the
+    positions that no exon before has, past the coding span. A transcript of several genes counts whole for each.
+    """
+    tasks = tasks or tasks_for(exons)
+    both = exons.select(*KEYS, by, gene, "start", "stop", F.lit(None).cast("int").alias("_c0"), F.lit(None).cast("int").alias("_c1"), F.lit(True).alias("_exon"))
+    coding = transcripts(cds, by).dropna(subset=[*KEYS, by]).select(*KEYS, by, F.lit(None).cast(dict(exons.dtypes)[gene]).alias(gene), *[F.lit(None).cast("int").alias(c) for c in ("start", "stop")], F.col("start").alias("_c0"), F.col("stop").alias("_c1"), F.lit(False).alias("_exon"))
+    whole = Window.partitionBy(*KEYS, by)
+    rows = both.unionByName(coding).repartition(tasks, by).withColumn("_reached", _reached(by)).withColumn("_low", F.max("_c0").over(whole)).withColumn("_high", F.max("_c1").over(whole)).where("_exon")
+    fresh = F.greatest(F.col("start"), F.col("_reached") + 1)
+    plus = F.col("strand") == "+"
+    part = F.when(plus, F.col("stop") - F.greatest(fresh, F.col("_high") + 1)).otherwise(F.least(F.col("stop"), F.col("_low") - 1) - fresh) + 1
+    rows = rows.withColumn("_part", F.when(F.col("_high").isNotNull(), F.greatest(part, F.lit(0)))).withColumn("_gap", F.when(F.col("start") - 1 > F.col("_reached"), F.col("start") - 1 - F.col("_reached")))
+    sums = rows.groupBy(by, gene).agg(F.sum("_part").alias("_utr3"), F.min("_gap").alias("_least"), F.max("_gap").alias("_greatest"), F.sum("_gap").alias("_sum"), F.count("_gap").alias("_n"))
+    of = Window.partitionBy(by)
+    sums = sums.select(
+        gene, by, F.coalesce(F.sum("_utr3").over(of), F.lit(0).cast("long")).alias("utr3"), F.min("_least").over(of).alias("least_intron"), F.max("_greatest").over(of).alias("greatest_intron"),
+        F.try_divide(F.sum("_sum").over(of), F.sum("_n").over(of)).alias("mean_intron"),
+    )
+    names = ["least_intron", "greatest_intron", "mean_intron"]
+    best = sums.repartition(tasks, gene).groupBy(gene).agg(F.min(F.struct((-F.col("utr3")).alias("least"), by, *names)).alias("b"))
+    return best.select(F.col(f"b.{by}").alias(by), gene, (-F.col("b.least")).alias("utr3"), *[F.col(f"b.{n}").alias(n) for n in names])
 
 
 def without_isoform(gene: str) -> Column:

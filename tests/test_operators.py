@@ -277,3 +277,41 @@ def test_path_numbers_over_64_bits(spark):
     for _ in range(120):
         x, y = y, x + y
     assert graph.count_paths(edges).where("node = 0").first()["paths"] == y
+
+
+@pytest.mark.parametrize("strand", "+-")
+def test_reports_by_gene_against_positions(spark, strand):
+    """Introns and 3' UTRs by one sort, held against sets of positions; a transcript of two genes counts for both. Neither plan joins."""
+    from axisweave.operators import annotation
+
+    rnd = random.Random(strand)
+    x = [(f"g{t % 7}", t, s := rnd.randint(1, 150), s + rnd.randint(0, 20)) for t in range(40) for _ in range(rnd.randint(1, 6))]
+    x += [("g1", t, s, e) for g, t, s, e in x if t == 12]
+    c = [(t, s := rnd.randint(1, 150), s + rnd.randint(0, 20)) for t in range(0, 45, 2) for _ in range(2)]
+    exon = spark.createDataFrame([("c", strand, *r) for r in x], "chr string, strand string, gene_id string, transcript_id long, start int, stop int")
+    cds = spark.createDataFrame([("c", strand, *r) for r in c], "chr string, strand string, transcript_id long, start int, stop int")
+    on = {t: {p for _, u, s, e in x if u == t for p in range(s, e + 1)} for t in range(40)}
+    ranked = {t: sorted(ps) for t, ps in on.items()}
+    gaps = {t: [b - a - 1 for a, b in zip(ps, ps[1:]) if b - a > 1] for t, ps in ranked.items()}
+    found = annotation.introns(exon)
+    assert {t: sorted(r["stop"] - r["start"] + 1 for r in found.where(F.col("transcript_id") == t).collect()) for t in (0, 5, 12, 39)} == {t: sorted(gaps[t]) for t in (0, 5, 12, 39)}
+    assert found.count() == sum(map(len, gaps.values()))
+    coding = {t: (min(s for u, s, _ in c if u == t), max(e for u, _, e in c if u == t)) for t in range(0, 45, 2)}
+    utr = {t: sum(p > coding[t][1] if strand == "+" else p < coding[t][0] for p in on[t]) if t in coding else 0 for t in on}
+    of = {g: {t for h, t, _, _ in x if h == g} for g, *_ in x}
+    want = {g: min((-utr[t], t) for t in ts)[1] for g, ts in of.items()}
+    report = annotation.gene_report(exon, cds)
+    got = {r["gene_id"]: r for r in report.collect()}
+    assert {g: r["transcript_id"] for g, r in got.items()} == want
+    for g, r in got.items():
+        size = gaps[r["transcript_id"]]
+        assert (r["utr3"], r["least_intron"], r["greatest_intron"]) == (utr[want[g]], min(size, default=None), max(size, default=None))
+        assert r["mean_intron"] == (pytest.approx(sum(size) / len(size)) if size else None)
+    assert all("Join" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (found, report))
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    from axisweave.operators import annotation
+
+    monkeypatch.setattr(annotation, "ROWS_A_TASK", 10)
+    assert annotation.tasks_for(spark.range(95)) == 10 and annotation.tasks_for(spark.range(5)) == 4
