@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.operators.intervals import KEYS, depth_runs, fragment, overlap_join
+from axisweave.operators.intervals import KEYS, count_overlaps, depth_runs, fragment, overlap_join
 
 
 def multimap_policy(stranded: bool, nh: str = "nh") -> Column:
@@ -72,9 +72,7 @@ def least_fragment_median(reads: DataFrame, regions: DataFrame) -> DataFrame:
 
 def count_reads(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Overlapping reads of each region, zeros included."""
-    names = regions.columns
-    hits = overlap_join(regions.distinct(), reads.select(*KEYS, "start", "stop"), suffix="_r").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    return regions.distinct().join(hits, names, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return count_overlaps(regions.distinct(), reads)
 
 
 def fpkm(reads: DataFrame, regions: DataFrame) -> DataFrame:

@@ -147,12 +147,61 @@ def _null_safe_join(a: DataFrame, b: DataFrame, columns: list[str], how: str) ->
     return a.join(named, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in columns], how).drop(*[f"_same_{c}" for c in columns])
 
 
+def running(steps: DataFrame, at: DataFrame, keys: list[str], total=F.sum, width: int = TILE) -> DataFrame:
+    """(keys, pos, values): at each position of steps (keys, pos, values) and of at (keys, pos) the total of the values up to there; null before the first.
+
+    Positions are aggregated first, so rows grow with the axis, not with the input; a tile has the total of the tiles before from one row a tile.
+    """
+    values = [c for c in steps.columns if c not in (*keys, "pos")]
+    rows = steps.unionByName(at.select(*keys, "pos").distinct(), allowMissingColumns=True).groupBy(*keys, "pos").agg(*[total(v).alias(v) for v in values]).withColumn("_tile", tile("pos", width))
+    order = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = rows.groupBy(*keys, "_tile").agg(*[total(v).alias(v) for v in values]).select(*keys, "_tile", *[total(v).over(order).alias(f"_before_{v}") for v in values])
+    inside = Window.partitionBy(*keys, "_tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select(*keys, "_tile", "pos", *[total(v).over(inside).alias(v) for v in values]).join(tiles, [*keys, "_tile"])
+    sum_ = lambda v: F.coalesce(F.col(f"_before_{v}") + F.col(v), f"_before_{v}", v)
+    most = lambda v: F.greatest(f"_before_{v}", v)
+    return local.select(*keys, "pos", *[(sum_ if total is F.sum else most)(v).alias(v) for v in values])
+
+
+def count_overlaps(a: DataFrame, b: DataFrame, keys: list[str] | None = None, name: str = "n", width: int = TILE) -> DataFrame:
+    """Rows of a with the number of rows of b that share a position, without making the pairs: those that start up to a's stop, less those that
+    stop before a's start. Where rows of either stop before they start, this doesn't hold, and pairs are made.
+    """
+    keys = KEYS if keys is None else keys
+    if any(not d.where("stop < start").isEmpty() for d in (a, b)):
+        pairs = overlap_join(a.distinct(), b.select(*keys, "start", "stop"), keys=keys).groupBy(*a.columns).agg(F.count(F.lit(1)).alias(name))
+        return _null_safe_join(a, pairs, a.columns, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return _count_overlaps(a, b.where("start <= stop"), keys, name, width)
+
+
+def _count_overlaps(a: DataFrame, b: DataFrame, keys: list[str], name: str, width: int = TILE) -> DataFrame:
+    """count_overlaps() of rows that don't stop before they start."""
+    ends = [b.select(*keys, F.col(c).alias("pos")).groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias(v)) for c, v in (("start", "_starts"), ("stop", "_stops"))]
+    asked = a.select(*keys, F.explode(F.array(F.col("stop"), F.col("start") - 1)).alias("pos")).where("pos is not null")
+    sums = running(ends[0].unionByName(ends[1], allowMissingColumns=True), asked, keys, width=width)
+    out = a.withColumn("_last", F.col("start") - 1).join(sums.select(*keys, F.col("pos").alias("stop"), F.col("_starts")), [*keys, "stop"], "left")
+    out = out.join(sums.select(*keys, F.col("pos").alias("_last"), F.col("_stops")), [*keys, "_last"], "left")
+    n = F.coalesce("_starts", F.lit(0)) - F.coalesce("_stops", F.lit(0))
+    return out.select(*a.columns, F.when(F.col("start").isNotNull() & F.col("stop").isNotNull(), n).otherwise(0).cast("long").alias(name))
+
+
 def overlap_semi(a: DataFrame, b: DataFrame, anti: bool = False, condition: Column | None = None, **more) -> DataFrame:
-    """Rows of a with (or, anti, without) an overlapping row in b; identical rows of a stay as often as they are."""
+    """Rows of a with (or, anti, without) an overlapping row in b; identical rows of a stay as often as they are. Without a condition no pairs are made."""
+    if condition is None:
+        return count_overlaps(a, b, name="_n").where(F.col("_n") == 0 if anti else F.col("_n") > 0).drop("_n")
     hit = overlap_join(a.distinct(), b.select(*KEYS, "start", "stop").distinct(), condition=condition, **more).select(*a.columns).distinct()
     return _null_safe_join(a, hit, a.columns, "left_anti" if anti else "left_semi")
 
 
+def contained_semi(a: DataFrame, b: DataFrame, anti: bool = False, width: int = TILE) -> DataFrame:
+    """Rows of a that lie (or, anti, don't lie) within one row of b: the furthest stop of those that start up to a's start is a's stop or past it."""
+    far = b.where("stop is not null and start is not null").groupBy(*KEYS, F.col("start").alias("pos")).agg(F.max("stop").alias("_far"))
+    sums = running(far, a.select(*KEYS, F.col("start").alias("pos")).where("pos is not null"), KEYS, F.max, width)
+    out = a.join(sums.withColumnRenamed("pos", "start"), [*KEYS, "start"], "left")
+    within = F.coalesce(F.col("_far") >= F.col("stop"), F.lit(False))
+    return out.where(~within if anti else within).select(*a.columns)
+
+
 def nearest(points: DataFrame, sites: DataFrame, after: bool = False, keys: list[str] | None = None, width: int = TILE) -> DataFrame:
     """points (keys, pos ..) with ``site``: the last site (keys, site) at or before pos, or (after) the first at or after it.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisweave.operators.intervals import KEYS, five_prime, overlap_join, three_prime
+from axisweave.operators.intervals import KEYS, _count_overlaps, five_prime, overlap_join, three_prime
 
 BLOCK = "array<struct<op:string,start:int,stop:int>>"
 #: ln(n!) as the C library's lgamma has it, to the last bit.
@@ -62,11 +62,11 @@ def site_counts(rows: DataFrame) -> DataFrame:
     j = junctions(rows)
     sites = j.select(*KEYS, "n", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit("left").alias("edge")), F.struct(F.col("stop").alias("pos"), F.lit("right").alias("edge")))).alias("x"))
     sites = sites.select(*KEYS, "x.*", "n").groupBy(*KEYS, "pos", "edge").agg(F.sum("n").alias("e"))
-    span = sites.withColumn("start", F.when(F.col("edge") == "left", F.col("pos") - 1).otherwise(F.col("pos"))).withColumn("stop", F.col("start") + 1)
-    whole = (F.col("start_b") <= F.col("start")) & (F.col("stop_b") >= F.col("stop"))
-    crossed = overlap_join(span, aligned(rows), suffix="_b", condition=whole).groupBy(*KEYS, "pos", "edge").agg(F.count(F.lit(1)).alias("i"))
+    # a block holds pos and the base beside it if it reaches, less its last base, over the first of the two
+    span = sites.withColumn("start", F.when(F.col("edge") == "left", F.col("pos") - 1).otherwise(F.col("pos"))).withColumn("stop", F.col("start"))
+    crossed = _count_overlaps(span, aligned(rows).where("stop > start").withColumn("stop", F.col("stop") - 1), KEYS, "i")
     side = F.when((F.col("strand") == "+") == (F.col("edge") == "left"), "5p").otherwise("3p")
-    return sites.join(crossed, [*KEYS, "pos", "edge"], "left").select(*KEYS, "pos", side.alias("side"), "e", F.coalesce("i", F.lit(0)).alias("i"))
+    return crossed.select(*KEYS, "pos", side.alias("side"), "e", "i")
 
 
 def log_gamma(x: Column) -> Column:

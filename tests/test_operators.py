@@ -315,3 +315,30 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
 
     monkeypatch.setattr(annotation, "ROWS_A_TASK", 10)
     assert annotation.tasks_for(spark.range(95)) == 10 and annotation.tasks_for(spark.range(5)) == 4
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_counts_without_pairs(spark, odd):
+    """Overlaps are counted from starts and stops, also across tiles and (odd) where rows stop before they start; null keys overlap nothing."""
+    rnd = random.Random(int(odd))
+    a, b = ([(rnd.choice("cd"), rnd.choice("+-"), s := rnd.randint(1, 150), s + rnd.randint(-3 if odd else 0, 12)) for _ in range(60)] for _ in range(2))
+    a, b = [*a, *a[:9], (None, "+", 3, 9), ("c", "+", None, 9), ("e", "+", 3, 9)], [*b, *b[:5], (None, "+", 3, 9), ("c", "+", None, 9), ("c", "+", 5, None)]
+    x, y = (spark.createDataFrame(v, "chr string, strand string, start int, stop int") for v in (a, b))
+    met = lambda r, q: None not in (*r, *q) and r[:2] == q[:2] and r[2] <= q[3] and r[3] >= q[2]
+    within = lambda r, q: None not in (*r, *q) and r[:2] == q[:2] and r[2] >= q[2] and r[3] <= q[3]
+    ordered = lambda rows: sorted(map(tuple, rows), key=lambda v: [(c is None, str(c)) for c in v])
+    n = iv.count_overlaps(x, y, width=16)
+    assert ordered(n.collect()) == ordered((*r, sum(met(r, q) for q in b)) for r in a)
+    assert ordered(iv.overlap_semi(x, y).collect()) == ordered(r for r in a if any(met(r, q) for q in b))
+    assert ordered(iv.overlap_semi(x, y, anti=True).collect()) == ordered(r for r in a if not any(met(r, q) for q in b))
+    for anti in (False, True):
+        assert ordered(iv.contained_semi(x, y, anti, width=16).collect()) == ordered(r for r in a if any(within(r, q) for q in b) != anti)
+    if not odd:
+        assert all("_bin" not in d._jdf.queryExecution().toString() for d in (n, iv.overlap_semi(x, y), coverage.count_reads(y, x)))
+
+
+def test_no_pairs_in_overlap_queries(spark):
+    from axisweave.plans.queries import QUERIES
+
+    for name in ("overlap_join_unstranded", "overlap_semi_join", "overlap_anti_join", "containment_anti_join", "splice_site_counts"):
+        assert "_bin" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString(), name
